@@ -110,18 +110,20 @@ def ema_depth(span: int, tolerance: float = 1e-17) -> int:
     return 1 if decay <= 0 else math.ceil(math.log(tolerance) / math.log(decay)) + 1
 
 
-def valid_ema(value: str | Column, keys: Keys, span: int, order: str = "trade_date") -> Column:
+def valid_ema(value: str | Column, keys: Keys, span: int | Column, order: str = "trade_date", max_span: int | None = None) -> Column:
     """EMA over non-null observations; a null row stays null and does not touch the filter.
 
-    The null flag joins the partition keys, so valid rows form their own gap-free series.
+    The null flag joins the partition keys, so valid rows form their own gap-free series. ``span`` may be
+    a column that is constant per key (a parameter grid); ``max_span`` then bounds the look-back.
     """
-    if span < 1:
+    longest = max_span if isinstance(span, Column) else span
+    if longest is None or longest < 1:
         raise ValueError("span must be >= 1")
     value = col(value)
-    alpha = 2.0 / (span + 1.0)
-    seen = F.collect_list(value).over(trailing([*keys, value.isNull()], ema_depth(span), order))
+    alpha = F.lit(2.0) / (span + 1.0) if isinstance(span, Column) else F.lit(2.0 / (span + 1.0))
+    seen = F.collect_list(value).over(trailing([*keys, value.isNull()], ema_depth(longest), order))
     rest = F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0)))
-    folded = F.aggregate(rest, F.get(seen, F.lit(0)), lambda acc, v: F.lit(alpha) * v + F.lit(1.0 - alpha) * acc)
+    folded = F.aggregate(rest, F.get(seen, F.lit(0)), lambda acc, v: alpha * v + (F.lit(1.0) - alpha) * acc)
     return F.when(value.isNotNull(), folded)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import degenerate_mask, flag, mid_rank_percentile, ordered
+from ..functions.series import degenerate_mask, mid_rank_percentile, running
 from ..params import BREADTH_WEIGHTS, LIQUIDITY_WEIGHTS, MODULE_WEIGHTS, PROFIT_WEIGHTS, STRETCH_WEIGHTS, Degenerate, Percentile
 
 
@@ -128,7 +128,7 @@ def nearest_date(df: DataFrame, targets: Sequence[str], columns: Sequence[str],
 def rebased(index: DataFrame, start: str, end: str, keys: Sequence[str] = ("market", "benchmark")) -> DataFrame:
     """Close as a percentage of the first close in the range."""
     ranged = index.filter(F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    first = F.first("close").over(ordered(keys).rowsBetween(-(2**31), 0))
+    first = F.first("close").over(running(keys))
     return ranged.withColumn("rebased", F.col("close") / first * 100.0)
 
 
