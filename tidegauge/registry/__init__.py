@@ -1,6 +1,6 @@
 """Every registered query with its check SQL."""
 
 from .base import REGISTRY
-from . import factors, quality, scoring  # noqa: F401
+from . import factors, quality, regime, scoring  # noqa: F401
 
 __all__ = ["REGISTRY"]
