@@ -63,3 +63,8 @@ def limit_pct(ts_code: str | Column) -> Column:
         .when(starts_with_any(code, BJ_PREFIXES), 30.0)
         .otherwise(10.0)
     )
+
+
+def decimals(value: str | Column, places: int) -> Column:
+    """Fixed-point text, exact ties to even (as printf does on the binary value)."""
+    return F.call_function("format_number", col(value), F.lit("0." + "0" * places))

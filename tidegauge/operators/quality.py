@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import before, count_true, flag, ordered, ratio, running
+from ..functions.text import decimals
 from ..params import Quality
 from .panel import keep_last, valid_price
 
@@ -164,7 +165,7 @@ def coverage_from_counts(counts: DataFrame, expected: DataFrame, quality: Qualit
     warnings = F.array_compact(
         F.array(
             F.when(low, F.concat(F.lit("EXPECTED_UNIVERSE_BELOW_MINIMUM_"), e.cast("string"))),
-            F.when(thin, F.concat(F.lit("MARKET_COVERAGE_BELOW_MINIMUM_"), F.coalesce(F.format_string("%.3f", coverage), F.lit("nan")))),
+            F.when(thin, F.concat(F.lit("MARKET_COVERAGE_BELOW_MINIMUM_"), F.coalesce(decimals(coverage, 3), F.lit("nan")))),
         )
     )
     return joined.select(
@@ -208,7 +209,7 @@ def assess_market_coverage(coverage: DataFrame, panel: DataFrame, quality: Quali
             F.when(F.col("_delisted") == 0, F.lit("HISTORICAL_DELIST_DATE_INCOMPLETE")),
             F.when(F.col("_st") == 0, F.lit("HISTORICAL_ST_STATUS_INCOMPLETE")),
             F.when(~enough, F.concat(F.lit("EXPECTED_UNIVERSE_BELOW_MINIMUM_"), F.col("expected_eligible_count").cast("string"))),
-            F.when(~covered, F.concat(F.lit("MARKET_COVERAGE_BELOW_MINIMUM_"), F.format_string("%.3f", ratio_now))),
+            F.when(~covered, F.concat(F.lit("MARKET_COVERAGE_BELOW_MINIMUM_"), decimals(ratio_now, 3))),
         )
     )
     return latest.join(meta, keys).select(
