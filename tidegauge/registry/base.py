@@ -54,6 +54,8 @@ def project_sql(source: str, spec: str) -> str:
 
 
 def cte(name: str, body: str) -> str:
+    if name in CTES:
+        raise ValueError(f"duplicate common table {name}")
     CTES[name] = body.strip()
     return name
 
