@@ -1,6 +1,6 @@
 """Every registered query with its check SQL."""
 
 from .base import REGISTRY
-from . import factors, quality, regime, scoring, events, advisory, serving, ingest  # noqa: F401
+from . import factors, quality, regime, scoring, events, advisory, serving, ingest, live  # noqa: F401
 
 __all__ = ["REGISTRY"]
