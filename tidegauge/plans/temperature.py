@@ -1,4 +1,8 @@
-"""Panel to temperature table as one declarative plan."""
+"""Panel to temperature table: one pass over the panel to the daily factor table, then series scoring.
+
+The daily factor table (one row per market and day) is the stage boundary: it is checkpointed, so the
+scoring windows and the coverage assessment read it instead of the panel.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +28,7 @@ from ..operators.panel import prepare_stock_panel
 from ..operators.quality import add_integrity_gate, add_quality_grade, assess_market_coverage, coverage_from_counts, dataset_warnings, expected_universe_daily
 from ..operators.scoring import add_temperature, score_breadth, score_liquidity, score_profit_effect, score_stretch
 from ..params import Degenerate, Percentile, Quality, Windows
+from ..sources.tables import hand_off
 
 
 def raw_factors(panel: DataFrame, limits: DataFrame, windows: Windows = Windows(), quality: Quality = Quality(), cfg: Degenerate = Degenerate(), keys: Sequence[str] = ("market",), dedupe: bool = True) -> DataFrame:
@@ -61,7 +66,7 @@ def market_temperature(
     keys: Sequence[str] = ("market",),
     dedupe: bool = True,
 ) -> DataFrame:
-    raw = raw_factors(panel, limits, windows, quality, cfg, keys, dedupe)
+    raw = hand_off(raw_factors(panel, limits, windows, quality, cfg, keys, dedupe))
     stretch = add_stretch(prepare_index(index_bars, [*keys, "benchmark"]), windows, [*keys, "benchmark"])
     assessment = None
     if quality.production:

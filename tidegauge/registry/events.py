@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
@@ -9,8 +12,9 @@ from ..operators import study as st
 from ..operators.state_machine import build_states
 from ..params import ROBUSTNESS_GRID, grid
 from ..sources import testdata as td
+from ..sources.tables import hand_off
 from .base import cte, register
-from .regime import states
+from .regime import state_table, states
 from .regime_sql import regime_ctes
 
 B, H = td.BENCHMARKS, td.HORIZONS
@@ -203,8 +207,31 @@ _study_sql("primary_study", st.PRIMARY)
 _study_sql("comparator_study", st.COMPARATORS)
 
 
+@dataclass(frozen=True)
+class Stage:
+    """Stage tables shared by the branches of one study."""
+
+    states: DataFrame
+    outcomes: DataFrame
+
+    @property
+    def catalog(self) -> DataFrame:
+        return ev.event_catalog(self.states)
+
+    def baselines(self) -> DataFrame:
+        return st.baseline_table(self.states, self.outcomes)
+
+    def study(self, pairs, baselines=None, sets=None) -> DataFrame:
+        return st.study_table(ev.event_sets(self.catalog) if sets is None else sets, self.outcomes, self.baselines() if baselines is None else baselines, pairs, B, H)
+
+
+def stage(spark, d) -> Stage:
+    return Stage(state_table(spark, d), hand_off(outcomes(spark, d)))
+
+
 def study(spark, d, pairs):
-    return st.study_table(ev.event_sets(catalog(spark, d)), outcomes(spark, d), baselines(spark, d), pairs, B, H)
+    s = stage(spark, d)
+    return s.study(pairs, hand_off(s.baselines()), hand_off(ev.event_sets(s.catalog)))
 
 
 _STUDY = "market event_type event_set benchmark horizon:n RawN:n DeclusteredN:n EpisodeN:n EventCount:n RegimeBaselineN:n RegimeBaselineMean:f BaselineMean:f BaselineMedian:f ExcessReturn:f " + _SUM
@@ -216,7 +243,7 @@ cte("decluster_summary", f"""
 SELECT m.market, g.event_type, g.event_set, count(s.event_id) AS event_count, min(s.date) AS first_event_date, max(s.date) AS last_event_date, count(DISTINCT s.episode_id) AS episode_count
 FROM (SELECT DISTINCT market FROM sets) m CROSS JOIN (VALUES {_values}) g(event_type, event_set) LEFT JOIN sets s ON s.market = m.market AND s.event_type = g.event_type AND s.event_set = g.event_set GROUP BY ALL
 """)
-register("ev16_decluster_summary", lambda s, d: st.decluster_summary(ev.event_sets(catalog(s, d))), "market event_type event_set event_count:n first_event_date last_event_date episode_count:n", "decluster_summary")
+register("ev16_decluster_summary", lambda s, d: st.decluster_summary(hand_off(ev.event_sets(catalog(s, d)))), "market event_type event_set event_count:n first_event_date last_event_date episode_count:n", "decluster_summary")
 _period = "CASE " + " ".join(f"WHEN date BETWEEN DATE '{a}' AND DATE '{b}' THEN '{n}'" for n, a, b in PERIODS) + " END"
 cte("split_stats", f"SELECT market, period, event_type, benchmark, horizon, {_MORE} FROM (SELECT *, {_period} AS period FROM attached WHERE event_type IN {_CONF}) WHERE period IS NOT NULL GROUP BY ALL")
 cte("split_counts", f"SELECT market, {_period} AS period, event_type, count(*) AS event_count FROM catalog WHERE event_type IN {_CONF} GROUP BY ALL")
@@ -229,15 +256,22 @@ LEFT JOIN split_stats s ON s.market = m.market AND s.period = g.period AND s.eve
 LEFT JOIN split_counts c ON c.market = m.market AND c.period = g.period AND c.event_type = g.event_type
 LEFT JOIN baselines u ON u.market = m.market AND u.benchmark = b.benchmark AND u.horizon = h.horizon AND u.baseline_type = 'UNCONDITIONAL'
 """)
-register("ev17_time_split", lambda s, d: st.time_split(catalog(s, d), outcomes(s, d), baselines(s, d), B, PERIODS, H), "market period event_type benchmark horizon:n event_count:n N:n Mean:f Median:f PositiveRate:f ExcessReturn:f assessment", "time_split")
+def time_split(spark, d):
+    s = stage(spark, d)
+    return st.time_split(hand_off(s.catalog), s.outcomes, hand_off(s.baselines()), B, PERIODS, H)
+
+
+register("ev17_time_split", time_split, "market period event_type benchmark horizon:n event_count:n N:n Mean:f Median:f PositiveRate:f ExcessReturn:f assessment", "time_split")
 
 
 def robust_catalog(spark, d):
     return ev.event_catalog(build_states(td.regime_daily(spark, d), ROBUST), ["market", "variant_id"])
 
 
-def robustness(spark, d):
-    return st.robustness_table(robust_catalog(spark, d), outcomes(spark, d), baselines(spark, d), ROBUST, B, DEFAULTS, H)
+def robustness(spark, d, s=None, base=None):
+    s = s or stage(spark, d)
+    base = hand_off(s.baselines()) if base is None else base
+    return st.robustness_table(hand_off(robust_catalog(spark, d)), s.outcomes, base, ROBUST, B, DEFAULTS, H)
 
 
 cte("rob_stats", f"SELECT market, variant_id, event_type, benchmark, horizon, {_STATS} FROM attached_rob WHERE event_type IN {_CONF} GROUP BY ALL")
@@ -287,7 +321,10 @@ _readiness_sql("readiness_all", "coalesce((SELECT bool_or(k = 1 AND n = 3 AND s
 
 
 def readiness(spark, d, every=False):
-    return st.readiness(study(spark, d, st.PRIMARY), study(spark, d, st.COMPARATORS), robustness(spark, d), persistence_from_all_sets=every)
+    s = stage(spark, d)
+    base, sets = hand_off(s.baselines()), hand_off(ev.event_sets(s.catalog))
+    primary = hand_off(s.study(st.PRIMARY, base, sets)) if every else s.study(st.PRIMARY, base, sets)
+    return st.readiness(primary, s.study(st.COMPARATORS, base, sets), robustness(spark, d, s, base), persistence_from_all_sets=every)
 
 
 _READY = "market event_type sample_ok effect_ok direction_ok persistence_ok robustness_ok comparator_ok ready reasons"
@@ -302,4 +339,9 @@ register("ev21_case_study_slice", lambda s, d: st.month_slice(attached(s, d), "1
 cte("tally", "SELECT count(DISTINCT benchmark) AS benchmarks, count(DISTINCT horizon) AS horizons_n, count(DISTINCT event_type) AS primary_signal_types, count(DISTINCT row(parameter, value)) AS robustness_parameter_values, count(*) FILTER (WHERE parameter_sensitivity_warning = 'THRESHOLD_SENSITIVE') AS threshold_sensitive_cells FROM robustness")
 register("ev22_multiple_testing_tally", lambda s, d: st.testing_tally(robustness(s, d)).withColumnRenamed("horizons", "horizons_n"), "benchmarks:n horizons_n:n primary_signal_types:n robustness_parameter_values:n threshold_sensitive_cells:n", "tally")
 cte("self_checks", "SELECT a.market, bool_and(coalesce(entry_date > date, true)) AS entry_after_signal_close, bool_and(price_status <> 'INTERPOLATED') AS no_price_interpolation, (SELECT bool_and(signal = 'NONE' AND smoothed_temperature IS NULL) FROM base_state s WHERE s.market = a.market AND state = 'DATA_INVALID') AS invalid_date_state_reset FROM attached a GROUP BY a.market")
-register("dq14_event_self_checks", lambda s, d: st.self_checks(states(s, d), attached(s, d)), "market entry_after_signal_close no_price_interpolation invalid_date_state_reset", "self_checks")
+def self_checks(spark, d):
+    s = stage(spark, d)
+    return st.self_checks(s.states, ev.attach_outcomes(s.catalog, s.outcomes, B, H))
+
+
+register("dq14_event_self_checks", self_checks, "market entry_after_signal_close no_price_interpolation invalid_date_state_reset", "self_checks")

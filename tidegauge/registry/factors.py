@@ -9,6 +9,7 @@ from ..operators.panel import prepare_stock_panel
 from ..operators.quality import expected_universe_daily
 from ..plans.temperature import raw_factors
 from ..sources import testdata as td
+from ..sources.tables import stage_table
 from .base import cte, register
 
 W = td.WINDOWS
@@ -204,17 +205,22 @@ def limit_panel(spark, d):
     return fx.prepare_limit_panel(td.limits(td.bars(spark, d)))
 
 
-def next_returns(spark, d):
-    return fx.limitup_next_returns(prepare_stock_panel(td.bars(spark, d), W, dedupe=False), limit_panel(spark, d))
+def next_returns(bars):
+    return fx.limitup_next_returns(prepare_stock_panel(bars, W, dedupe=False), fx.prepare_limit_panel(td.limits(bars)))
+
+
+def panel(spark, d):
+    """The stock panel as a stored table, for plans that walk it in several branches."""
+    return stage_table(td.bars(spark, d), "panel")
 
 
 def profit(spark, d):
-    bars = td.bars(spark, d)
+    bars = panel(spark, d)
     return raw_factors(bars, td.limits(bars), W, td.QUALITY, dedupe=False)
 
 
-def stretch(spark, d):
-    return fx.add_stretch(fx.prepare_index(td.index_bars(spark, d)), W, IDX)
+def stretch(spark, d, bars=None):
+    return fx.add_stretch(fx.prepare_index(td.index_bars(spark, d, bars)), W, IDX)
 
 
 register("pf1_prepare_stock_panel", prepared, "market ts_code trade_date close:f pre_close:f pct_chg:f recent_ipo_excluded is_eligible", "prepared")
@@ -228,7 +234,7 @@ register("pf4_breadth_ratios", breadth, "market trade_date adv_ratio:f above_ma2
 register("pf5_coverage_denominators", breadth, "market trade_date known_stocks:n breadth_coverage:f breadth_quality", "breadth")
 register("pf6_limit_rates", profit, "market trade_date observed_eligible_count:n profit_effect_eligible_count:n limit_up_count:n limit_down_count:n limit_up_rate:f limit_down_rate:f", "profit")
 register(
-    "pf7_yesterday_limitup", lambda s, d: fx.limitup_next_summary(next_returns(s, d)),
+    "pf7_yesterday_limitup", lambda s, d: fx.limitup_next_summary(next_returns(panel(s, d))),
     "market trade_date yesterday_limitup_mean_return:f yesterday_limitup_median_return:f yesterday_limitup_sample_count:n", "next_summary",
 )
 register(

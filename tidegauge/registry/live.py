@@ -88,7 +88,7 @@ register("st5_infer_limits", lambda s, d: qt.infer_limits(priced(s, d)), "market
 
 def live_day(spark, d):
     """The newest day of each market arrives live on top of the earlier history."""
-    daily = td.regime_daily(spark, d)
+    daily = tb.hand_off(td.regime_daily(spark, d))
     newest = daily.groupBy("market").agg(F.max_by(F.struct(*[c for c in daily.columns if c != "market"]), "trade_date").alias("r")).select("market", "r.*")
     return lv.live_snapshot(daily, newest)
 

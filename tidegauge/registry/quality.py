@@ -10,7 +10,7 @@ from ..params import Quality
 from ..plans.temperature import market_temperature
 from ..sources import testdata as td
 from .base import cte, register
-from .factors import KEYS, W
+from .factors import KEYS, W, panel
 
 Q = td.QUALITY
 
@@ -126,8 +126,8 @@ register(
 
 
 def temperature(spark, d, quality=Q):
-    bars = td.bars(spark, d)
-    return market_temperature(bars, td.limits(bars), td.index_bars(spark, d), W, quality, td.PERCENTILE, dedupe=False)
+    bars = panel(spark, d)
+    return market_temperature(bars, td.limits(bars), td.index_bars(spark, d, bars), W, quality, td.PERCENTILE, dedupe=False)
 
 
 def _pct(x: str, part: str = "market", bearish: bool = False) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.regime import regime_indicators
 from ..operators.state_machine import build_states
 from ..sources import testdata as td
+from ..sources.tables import hand_off
 from . import regime_sql  # noqa: F401
 from .base import cte, register
 
@@ -19,6 +20,11 @@ def states(spark, d):
     return build_states(td.regime_daily(spark, d))
 
 
+def state_table(spark, d):
+    """The state table as a stage boundary, for reports that read it more than once."""
+    return hand_off(states(spark, d))
+
+
 register("rg1_valid_observations", lambda s, d: indicators(s, d).withColumnRenamed("regime_valid_observation", "valid"), "market trade_date valid raw_temperature:f quality confidence", "base_ind")
 register("rg2_causal_ema", indicators, "market trade_date smoothed_temperature:f", "base_ind")
 register("rg3_valid_lag", indicators, "market trade_date slope1:f slope3:f", "base_ind")
@@ -56,7 +62,7 @@ cte("transitions", f"""
 SELECT m.market, a.previous_state, b.state, count(s.market) AS transitions FROM (SELECT DISTINCT market FROM base_state) m, (SELECT unnest([{_STATES}, 'NONE']) AS previous_state) a, (SELECT unnest([{_STATES}]) AS state) b
 LEFT JOIN base_state s ON s.market = m.market AND s.previous_state = a.previous_state AND s.state = b.state GROUP BY m.market, a.previous_state, b.state
 """)
-register("rg11_transition_matrix", lambda s, d: rr.transition_matrix(states(s, d)), "market previous_state state transitions:n", "transitions")
+register("rg11_transition_matrix", lambda s, d: rr.transition_matrix(state_table(s, d)), "market previous_state state transitions:n", "transitions")
 cte("runs", 'SELECT market, run_id AS run, state, count(*) AS duration, min(trade_date) AS "start", max(trade_date) AS "end" FROM base_state GROUP BY market, run_id, state')
 register("rg12_runs", lambda s, d: rr.runs(states(s, d)).withColumnsRenamed({"start": "first_day", "end": "last_day"}), "market run:n state duration:n first_day last_day", '(SELECT *, "start" AS first_day, "end" AS last_day FROM runs)')
 cte("state_stats", f"""
@@ -64,7 +70,7 @@ SELECT m.market, b.state, coalesce(sum(duration), 0) AS "count", coalesce(sum(du
   coalesce(quantile_cont(duration, 0.5), 0) AS median_duration, coalesce(max(duration), 0) AS max_duration
 FROM (SELECT market, count(*) AS total FROM base_state GROUP BY market) m, (SELECT unnest([{_STATES}]) AS state) b LEFT JOIN runs r ON r.market = m.market AND r.state = b.state GROUP BY m.market, b.state
 """)
-register("rg13_state_statistics", lambda s, d: rr.state_statistics(states(s, d)).withColumnRenamed("count", "days"), "market state days:n percentage:f number_of_episodes:n median_duration:f max_duration:n", '(SELECT *, "count" AS days FROM state_stats)')
+register("rg13_state_statistics", lambda s, d: rr.state_statistics(state_table(s, d)).withColumnRenamed("count", "days"), "market state days:n percentage:f number_of_episodes:n median_duration:f max_duration:n", '(SELECT *, "count" AS days FROM state_stats)')
 
 
 def _signal_cte(name: str, edge_on: str, first_counts: bool) -> None:
@@ -90,7 +96,7 @@ SELECT market, '{k}' AS episode_type, {k}_episode_id AS episode_id, min(trade_da
   (SELECT string_agg(state, ',' ORDER BY f) FROM (SELECT state, min(trade_date) AS f FROM base_state i WHERE i.market = o.market AND i.{k}_episode_id = o.{k}_episode_id GROUP BY state)) AS states_seen,
   min(trade_date) FILTER (WHERE signal IN {_CONF}) AS confirmed_date
 FROM base_state o WHERE {k}_episode_id IS NOT NULL GROUP BY market, {k}_episode_id""" for k in ("panic", "euphoria")))
-register("rg15_episode_table", lambda s, d: rr.episode_table(states(s, d)), "market episode_type episode_id:n start_date end_date duration_valid_observations:n max_age:n anchor_dates max_extreme_module_count:n states_seen confirmed_date", "episodes")
+register("rg15_episode_table", lambda s, d: rr.episode_table(state_table(s, d)), "market episode_type episode_id:n start_date end_date duration_valid_observations:n max_age:n anchor_dates max_extreme_module_count:n states_seen confirmed_date", "episodes")
 cte("episode_freq0", f"""
 SELECT market, year(trade_date) AS "year", count(DISTINCT panic_episode_id) AS p, count(DISTINCT euphoria_episode_id) AS e, count(*) FILTER (WHERE signal = 'ICE_REVERSAL_CONFIRMED') AS i, count(*) FILTER (WHERE signal = 'HOT_ROLLOVER_CONFIRMED') AS h
 FROM base_state GROUP BY market, year(trade_date)
@@ -157,7 +163,7 @@ SELECT market, 'hottest' AS kind, trade_date AS event_date, position AS at, row_
 UNION ALL SELECT market, 'coldest', trade_date, position, row_number() OVER (PARTITION BY market ORDER BY smoothed_temperature, trade_date) FROM placed WHERE smoothed_temperature IS NOT NULL
 """)
 cte("extreme_rows", "SELECT e.market, e.kind, e.rank, e.event_date, p.position - e.at AS \"offset\", p.trade_date, p.smoothed_temperature, p.state, p.signal FROM extreme_picks e JOIN placed p ON p.market = e.market AND p.position BETWEEN e.at - 5 AND e.at + 5 WHERE e.rank <= 10")
-register("rg19_extreme_audit", lambda s, d: rr.extremes(states(s, d)).withColumnRenamed("offset", "shift"), "market kind rank:n event_date shift:n trade_date smoothed_temperature:f state signal", '(SELECT *, "offset" AS shift FROM extreme_rows)')
+register("rg19_extreme_audit", lambda s, d: rr.extremes(state_table(s, d)).withColumnRenamed("offset", "shift"), "market kind rank:n event_date shift:n trade_date smoothed_temperature:f state signal", '(SELECT *, "offset" AS shift FROM extreme_rows)')
 register("rg19_top_days", lambda s, d: rr.top_days(states(s, d)), "market trade_date smoothed_temperature:f state signal", "(SELECT * FROM base_state WHERE smoothed_temperature IS NOT NULL ORDER BY smoothed_temperature DESC, trade_date, market LIMIT 10)")
 AUDIT = ("1996-06-30", "1998-10-01", "2000-03-15")
 cte("audit_hits", f"""
@@ -165,7 +171,7 @@ SELECT market, episode_type, episode_id, min(target) AS target FROM (SELECT e.*,
   QUALIFY row_number() OVER (PARTITION BY e.market, e.episode_type, t.target ORDER BY abs(e.start_date - t.target), e.episode_id) = 1) GROUP BY market, episode_type, episode_id
 """)
 cte("audit", "SELECT e.*, h.target, row_number() OVER (PARTITION BY e.market, e.episode_type ORDER BY h.target IS NULL, e.start_date, e.episode_id) AS pick FROM episodes e LEFT JOIN audit_hits h USING (market, episode_type, episode_id) QUALIFY h.target IS NOT NULL OR pick <= 5")
-register("rg20_historical_audit", lambda s, d: rr.episode_audit(rr.episode_table(states(s, d)), AUDIT), "market episode_type episode_id:n start_date target pick:n", "audit")
+register("rg20_historical_audit", lambda s, d: rr.episode_audit(rr.episode_table(state_table(s, d)), AUDIT), "market episode_type episode_id:n start_date target pick:n", "audit")
 
 CAUSAL = ["smoothed_temperature", "temperature_shock", "slope1", "slope3", "rolling_high_10", "rolling_low_10", "recovery_from_low", "drop_from_high", "panic_episode_id", "euphoria_episode_id", "post_panic_low", "post_euphoria_high", "state", "signal"]
 SPLIT = "2000-01-01"

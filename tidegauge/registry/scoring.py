@@ -10,7 +10,7 @@ from ..params import BREADTH_WEIGHTS, MODULE_WEIGHTS, Quality
 from ..plans.temperature import intraday_temperature, market_temperature, raw_factors
 from ..sources import testdata as td
 from .base import cte, register
-from .factors import KEYS, W, profit, stretch
+from .factors import KEYS, W, panel, profit, stretch
 from .quality import Q, temperature
 
 P = td.PERCENTILE
@@ -54,11 +54,11 @@ PRODUCTION = Quality(**{**Q.__dict__, "production": True})
 
 def intraday(spark, d):
     """History up to the day before, recomputed factors only for the recent 16 weeks."""
-    bars = td.bars(spark, d)
+    bars = panel(spark, d)
     day = F.lit(LIVE_DAY).cast("date")
     history = raw_factors(bars, td.limits(bars), W, Q, dedupe=False)
     recent = bars.filter(F.col("trade_date").between(F.date_sub(day, 7 * 30), day))
-    return intraday_temperature(recent, td.limits(recent), td.index_bars(spark, d).filter(F.col("trade_date") <= day), history, stretch(spark, d), LIVE_DAY, W, PRODUCTION, P, dedupe=False)
+    return intraday_temperature(recent, td.limits(recent), td.index_bars(spark, d, bars).filter(F.col("trade_date") <= day), history, stretch(spark, d, bars), LIVE_DAY, W, PRODUCTION, P, dedupe=False)
 
 
 # The oracle scores the same day from the full table: a live day must agree with the daily run on every

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import serving as sv
 from ..operators.quality import market_coverage_daily
+from ..operators.state_machine import build_states
+from ..operators.advisory import advisory_frame
 from ..sources import testdata as td
+from ..sources.tables import hand_off
 from .advisory import _q, advisory
 from .base import cte, register
-from .regime import states
+from .regime import state_table, states
 
 register("sv1_latest_valid_date", lambda s, d: sv.date_bounds(advisory(s, d)), "market latest_valid_date first_date last_date available_dates:n",
          "(SELECT market, max(date) FILTER (WHERE advisory_signal <> 'DATA_INVALID') AS latest_valid_date, min(date) AS first_date, max(date) AS last_date, count(*) AS available_dates FROM advisory GROUP BY market)")
@@ -34,7 +37,12 @@ SELECT market, trade_date, {_case('state', sv.STATE_LABELS)} AS state_label, {_c
   {', '.join(f"{_text(m + '_score')} AS {m}_text" for m in ('breadth', 'profit_effect', 'liquidity', 'stretch'))}, state = 'DATA_INVALID' AS data_invalid
 FROM advisory
 """)
-register("sv3_daily_card", lambda s, d: sv.daily_cards(advisory(s, d), states(s, d)),
+def daily_cards(spark, d):
+    table = state_table(spark, d)
+    return sv.daily_cards(advisory_frame(table), table)
+
+
+register("sv3_daily_card", daily_cards,
          "market trade_date state_label advisory_label temperature_text smoothed_text buy_reference sell_reference risk_label horizon_label reference_horizon confidence_label evidence_label what_to_watch_next warning_titles blocking breadth_text profit_effect_text liquidity_text stretch_text data_invalid", "cards")
 cte("trend_1y", "SELECT * FROM advisory a WHERE date >= (SELECT max(date) FROM advisory b WHERE b.market = a.market) - 366")
 _POINT = "market date market_temperature:f smoothed_temperature:f advisory_signal"
@@ -46,7 +54,7 @@ SELECT o.market, '{t}' AS episode_type, {k}_episode_id AS episode_id, min(trade_
   CASE WHEN bool_or({k}_episode_closed) THEN '{sv.EPISODE_CLOSED}' ELSE '{sv.EPISODE_OPEN}' END AS status, printf('%.1f', {'min' if k == 'panic' else 'max'}(smoothed_temperature)) AS extreme_text,
   (SELECT string_agg(state, ',' ORDER BY f) FROM (SELECT state, min(trade_date) AS f FROM base_state i WHERE i.market = o.market AND i.{k}_episode_id = o.{k}_episode_id GROUP BY state)) AS state_sequence
 FROM base_state o WHERE {k}_episode_id IS NOT NULL GROUP BY o.market, {k}_episode_id""" for k, t, w, c in (("panic", "Panic", "ICE_REVERSAL_WATCH", "ICE_REVERSAL"), ("euphoria", "Euphoria", "HOT_ROLLOVER_WATCH", "HOT_ROLLOVER"))))
-register("sv5_episode_cards", lambda s, d: sv.episode_cards(states(s, d)), "market episode_type episode_id:n start_date extreme_date extreme_value:f watch_date confirmed_date end_date status extreme_text state_sequence", "episode_cards")
+register("sv5_episode_cards", lambda s, d: sv.episode_cards(state_table(s, d)), "market episode_type episode_id:n start_date extreme_date extreme_value:f watch_date confirmed_date end_date status extreme_text state_sequence", "episode_cards")
 cte("last_state", "SELECT s.market, s.quality AS status, s.trade_date AS latest_calculated_date, r.observed_universe AS universe FROM base_state s JOIN regime_daily r USING (market, trade_date) QUALIFY row_number() OVER (PARTITION BY s.market ORDER BY s.trade_date DESC) = 1")
 cte("diagnostics", f"""
 SELECT l.*, v.latest_valid_date, v.row_count, coalesce(printf('%.1f', c.coverage_ratio * 100) || '%', '—') AS coverage_text, k.warning_titles AS warning_labels
@@ -56,8 +64,8 @@ LEFT JOIN coverage c ON c.market = l.market AND c.trade_date = l.latest_calculat
 
 
 def diagnostics(spark, d):
-    table = states(spark, d)
-    return sv.diagnostics(table, advisory(spark, d), market_coverage_daily(td.bars(spark, d), td.QUALITY, dedupe=False))
+    table = state_table(spark, d)
+    return sv.diagnostics(table, advisory_frame(table), market_coverage_daily(td.bars(spark, d), td.QUALITY, dedupe=False))
 
 
 register("sv6_diagnostics", diagnostics, "market status latest_valid_date latest_calculated_date row_count:n universe:n coverage_text warning_labels", "diagnostics")
@@ -65,13 +73,19 @@ register("sv7_recent_trading_days", lambda s, d: sv.recent_days(td.bars(s, d), 1
 NOW = "2001-08-04 16:05:00"
 register("sv8_baseline_freshness", lambda s, d: sv.freshness(td.bars(s, d), NOW), "market latest_date required_date fresh safe_download_end",
          "(SELECT market, max(trade_date) AS latest_date, DATE '2001-08-03' AS required_date, max(trade_date) >= DATE '2001-08-03' AS fresh, DATE '2001-08-03' AS safe_download_end FROM bars GROUP BY market)")
-register("sv9_completeness", lambda s, d: sv.completeness({"temperature": td.regime_daily(s, d), "state": states(s, d), "advisory": advisory(s, d)}).withColumnsRenamed({"temperature": "n_temperature", "state": "n_state", "advisory": "n_advisory"}), "market n_temperature:n n_state:n n_advisory:n ready",
+def contract_tables(spark, d):
+    daily = hand_off(td.regime_daily(spark, d))
+    table = hand_off(build_states(daily))
+    return sv.completeness({"temperature": daily, "state": table, "advisory": advisory_frame(table)})
+
+
+register("sv9_completeness", lambda s, d: contract_tables(s, d).withColumnsRenamed({"temperature": "n_temperature", "state": "n_state", "advisory": "n_advisory"}), "market n_temperature:n n_state:n n_advisory:n ready",
          "(SELECT market, count(*) AS n_temperature, count(*) AS n_state, count(*) AS n_advisory, true AS ready FROM base_state GROUP BY market)")
 
 
 def live_points(spark, d):
     """The last day's point revised upward by one degree, as an intraday refresh would deliver it."""
-    points = sv.trend(advisory(spark, d), "1Y")
+    points = hand_off(sv.trend(advisory(spark, d), "1Y"))
     live = sv.last_rows(points, 1).withColumns({"market_temperature": F.lit(55.5), "advisory_signal": F.lit("NEUTRAL")})
     return sv.replace_live_point(points, live)
 

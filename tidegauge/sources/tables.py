@@ -40,6 +40,14 @@ def hand_off(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Stage boundary for a large table: written once as parquet in the shared folder, so every later
+    branch scans only the columns and rows it needs."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_panel(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Parquet scan with a declared schema; filters and pruned columns reach the files."""
     return spark.read.schema(ddl).parquet(path)

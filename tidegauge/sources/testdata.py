@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.series import mid_rank_percentile, ratio, trailing
 from ..params import Percentile, Quality, Windows
+from .tables import read_panel
 
 # Parameters scaled to about 345 weekly observations.
 WINDOWS = Windows(ma_short=4, ma_long=12, high_low=12, turnover_z=12, rsi=14, atr=14, index_ma=4, short_return=5, long_return=20, exclude_recent=2)
@@ -20,42 +21,50 @@ BENCHMARKS = ("IDX0", "IDX1")
 HORIZONS = (1, 3, 5, 10, 20, 40, 60)
 
 
+# Declared schemas spare every read its footer inference.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_panel(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with its market, security and trading week."""
+    """One row per order line with its security and trading week."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_suppkey").alias("sk"),
+        F.date_trunc("week", "o_orderdate").cast("date").alias("trade_date"),
+        (F.lit(10.0) + F.col("l_quantity")).alias("px"),
+        F.col("l_quantity").alias("qty"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+        F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("ord"),
+    )
+
+
+def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market of each security."""
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    venue = (
-        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "r_name")
-    )
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(venue, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("r_name").alias("market"),
-            F.col("l_suppkey").alias("sk"),
-            F.date_trunc("week", "o_orderdate").cast("date").alias("trade_date"),
-            (F.lit(10.0) + F.col("l_quantity")).alias("px"),
-            F.col("l_quantity").alias("qty"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
-            F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("ord"),
-        )
-    )
+    return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("sk"), F.col("r_name").alias("market"))
 
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly OHLCV per security: one partial-then-final aggregation over the ticks."""
-    return (
+    """Weekly OHLCV per security. The lines shrink to bars (partial, then final aggregation) before the
+    market is attached, so the venue join moves bars, not lines."""
+    weekly = (
         ticks(spark, sf_dir)
-        .groupBy("market", "sk", "trade_date")
+        .groupBy("sk", "trade_date")
         .agg(
             F.min_by("px", "ord").alias("open"),
             F.max("px").alias("high"),
@@ -65,6 +74,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.sum("cents").cast("double") / 100.0).alias("amount_rmb"),
         )
     )
+    return weekly.join(venues(spark, sf_dir), "sk").select("market", "sk", "trade_date", "open", "high", "low", "close", "volume", "amount_rmb")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +128,10 @@ def limits(panel: DataFrame) -> DataFrame:
     )
 
 
-def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_bars(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
     """Two benchmarks per market: the average bar of even and of odd securities."""
     return (
-        raw_bars(spark, sf_dir)
+        (raw_bars(spark, sf_dir) if panel is None else panel)
         .groupBy("market", F.concat(F.lit("IDX"), (F.col("sk") % 2).cast("string")).alias("benchmark"), "trade_date")
         .agg(*[F.avg(c).alias(c) for c in ("open", "high", "low", "close")])
     )
