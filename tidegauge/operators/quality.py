@@ -38,14 +38,17 @@ class UnavailableMarketFactor(RuntimeError):
 
 
 def validate_timeseries(df: DataFrame, keys: Sequence[str] = ("market",), code: str = "ts_code", outlier_return: float = 0.80, date_column: str = "trade_date") -> DataFrame:
-    """Issue rows ``(code, message, rows, severity)`` per market from one aggregation.
+    """Issue rows ``(code, message, rows, severity)`` per market.
 
-    Duplicate keys are counted as rows minus distinct keys on a pre-aggregated key table, and the
-    outlier test uses the previous close of the same security.
+    Row checks are one conditional aggregation. Duplicates and return outliers work on a table of one row
+    per security and day (copies merge before the shuffle), so a security with a huge number of copies
+    never lands whole in one window; an outlier compares with the previous day of the same security.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys, code).orderBy(date_column)
-    stepped = df.withColumn("_previous", F.lag("close").over(w))
+    newest = F.max_by("close", "row_seq") if "row_seq" in df.columns else F.max("close")
+    per_day = df.groupBy(*keys, code, date_column).agg(F.count("*").alias("_copies"), newest.alias("close"))
+    w = Window.partitionBy(*keys, code, F.col(date_column).isNull()).orderBy(date_column)
+    stepped = per_day.withColumn("_previous", F.when(F.col(date_column).isNotNull(), F.lag("close").over(w)))
     prices = [c for c in ("open", "high", "low", "close") if c in df.columns]
     bad_price = {c: count_true(flag(F.col(c) <= 0) | F.col(c).isNull()) for c in prices}
     jump = F.abs(F.col("close") / F.nullif(F.col("_previous"), F.lit(0.0)) - 1.0) > outlier_return
@@ -57,17 +60,18 @@ def validate_timeseries(df: DataFrame, keys: Sequence[str] = ("market",), code:
         checks.append(("CLOSE_OUTSIDE_RANGE", "Close price is below low", "error", count_true(F.col("close") < F.col("low"))))
     if "volume" in df.columns:
         checks.append(("NEGATIVE_VOLUME", "Negative values in volume", "error", count_true(F.col("volume") < 0)))
-    checks.append(("OUTLIER_RETURNS", f"Absolute close-to-close returns exceed {outlier_return:.0%}", "warning", count_true(jump)))
 
-    counted = stepped.groupBy(*keys).agg(*[c.alias(f"_n{i}") for i, (*_, c) in enumerate(checks)])
-    duplicates = (
-        df.groupBy(*keys, code, date_column).agg(F.count("*").alias("_copies")).groupBy(*keys).agg(F.sum(F.col("_copies") - 1).alias("rows"))
-        .select(*keys, F.lit("DUPLICATE_DATES").alias("code"), F.lit("Duplicate trade dates found").alias("message"), "rows", F.lit("error").alias("severity"))
+    counted = df.groupBy(*keys).agg(*[c.alias(f"_n{i}") for i, (*_, c) in enumerate(checks)])
+    by_day = stepped.groupBy(*keys).agg(F.sum(F.col("_copies") - 1).alias("d"), count_true(jump).alias("o"))
+    named = F.array(
+        F.struct(F.lit("DUPLICATE_DATES").alias("code"), F.lit("Duplicate trade dates found").alias("message"), F.col("d").alias("rows"), F.lit("error").alias("severity")),
+        F.struct(F.lit("OUTLIER_RETURNS").alias("code"), F.lit(f"Absolute close-to-close returns exceed {outlier_return:.0%}").alias("message"), F.col("o").alias("rows"), F.lit("warning").alias("severity")),
     )
+    series_issues = by_day.select(*keys, F.explode(named).alias("issue")).select(*keys, "issue.*")
     issue = F.explode(
         F.array(*[F.struct(F.lit(k).alias("code"), F.lit(m).alias("message"), F.col(f"_n{i}").alias("rows"), F.lit(s).alias("severity")) for i, (k, m, s, _) in enumerate(checks)])
     )
-    return counted.select(*keys, issue.alias("issue")).select(*keys, "issue.*").unionByName(duplicates).filter("rows > 0")
+    return counted.select(*keys, issue.alias("issue")).select(*keys, "issue.*").unionByName(series_issues).filter("rows > 0")
 
 
 def validate_strict(issues: DataFrame) -> None:

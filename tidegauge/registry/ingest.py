@@ -219,13 +219,14 @@ register("in18_parse_daily_json", lambda s, d: vd.parse_daily_json(day_payloads(
 
 
 def snapshot_payloads(spark, d):
-    """One quote list per market and week, so a security repeats across lists and the newest must win."""
+    """Quote lists per market and week in pages of a hundred securities; a security repeats across weeks and
+    the newest record must win."""
     b = td.bars(spark, d)
     record = F.struct(
         F.when(F.col("sk") % 31 == 0, "-").otherwise(F.col("close").cast("string")).alias("f2"), F.lit("1.5").alias("f3"), F.col("volume").cast("string").alias("f5"), F.col("amount_rmb").cast("string").alias("f6"), F.lit("0.7").alias("f8"), F.col("ts_code").alias("f12"),
         (F.col("sk") % 3).cast("string").alias("f13"), F.col("name").alias("f14"), F.col("high").cast("string").alias("f15"), F.col("low").cast("string").alias("f16"), F.col("open").cast("string").alias("f17"), F.col("pre_close").cast("string").alias("f18"), F.unix_timestamp(F.col("trade_date").cast("timestamp")).cast("string").alias("f124"),
     )
-    return b.groupBy("market", "trade_date").agg(F.to_json(F.collect_list(record)).alias("payload"))
+    return b.groupBy("market", "trade_date", F.floor(F.col("sk") / 100).alias("page")).agg(F.to_json(F.collect_list(record)).alias("payload"))
 
 
 register("in19_parse_snapshot_list", lambda s, d: vd.parse_snapshot_list(snapshot_payloads(s, d)).withColumn("local_time", F.date_format("quote_time", "yyyy-MM-dd HH:mm")), "market ts_code exchange name close:f open:f high:f low:f volume:f amount_rmb:f local_time",

@@ -107,9 +107,9 @@ def normalize_history(df: DataFrame, keys: Sequence[str] = ("market",)) -> DataF
     out = out.withColumns({**{c: number(c) for c in numeric}, "trade_date": parse_trade_date("trade_date")})
     if "pct_chg" not in out.columns:
         out = out.withColumn("pct_chg", F.lit(None).cast("double"))
-    reported = F.count("pct_chg").over(Window.partitionBy(*keys, "ts_code"))
+    reported = out.groupBy(*keys, "ts_code").agg(F.count("pct_chg").alias("_n"))
     change = (F.col("close") / F.nullif(F.col("pre_close"), F.lit(0.0)) - 1.0) * 100.0
-    return out.withColumn("_n", reported).withColumns({"pct_chg": F.when(F.col("_n") == 0, change).otherwise(F.col("pct_chg")), "amount_rmb": F.col("amount")}).drop("_n")
+    return out.join(reported, [*keys, "ts_code"]).withColumns({"pct_chg": F.when(F.col("_n") == 0, change).otherwise(F.col("pct_chg")), "amount_rmb": F.col("amount")}).drop("_n")
 
 
 def _previous_close() -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.advisory import advisory_frame
-from ..operators.state_machine import OUTPUT, MachineState, build_states, run_series
+from ..operators.state_machine import OUTPUT, OUTPUT_COLUMNS, MachineState, build_states, run_series
 from ..params import Variant
 from ..sources.tables import save_dataset
 
@@ -66,7 +66,7 @@ class SeriesMachine(StatefulProcessor):
             parts.append(pd.concat([fresh, run_series(fresh, self.variants[fresh["variant_id"].iat[0]], machine), pd.Series(False, index=fresh.index, name="late")], axis=1))
             self.saved.update((json.dumps({"last": str(fresh["trade_date"].iat[-1]), "machine": machine.to_dict()}),))
         if late.any():
-            parts.append(pdf[late].assign(late=True))
+            parts.append(pdf[late].assign(**dict.fromkeys(OUTPUT_COLUMNS), late=True))
         for part in parts:
             yield part
 
