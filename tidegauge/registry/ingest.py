@@ -284,7 +284,7 @@ register("in25_pool_status", lambda s, d: vd.pool_status(vd.limit_flags_from_poo
 
 def ranked_sources(spark, d):
     """Source 0 stops early for some markets, source 1 is complete, source 2 a fallback."""
-    b = td.bars(spark, d).select("market", "ts_code", "trade_date", "close")
+    b = tb.stage_table(td.bars(spark, d).select("market", "ts_code", "trade_date", "close"), "sources")
     first = b.filter(F.col("market").isin("ASIA", "EUROPE") | (F.col("trade_date") < F.lit("2000-01-01").cast("date"))).withColumn("source_rank", F.lit(0))
     second = b.filter(F.col("market") != "AFRICA").withColumns({"source_rank": F.lit(1), "close": F.col("close") + 1})
     third = b.withColumns({"source_rank": F.lit(2), "close": F.col("close") + 2})
