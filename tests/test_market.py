@@ -194,3 +194,17 @@ def test_upsert_new_rows_win(spark):
     new = frame(spark, ddl, [("A", DAY, 11.0, 1), ("A", dt.date(2026, 1, 5), 12.0, 1)])
     got = tb.upsert(old, new, ["ts_code", "trade_date"]).orderBy("trade_date").collect()
     assert [r.close for r in got] == [11.0, 12.0]
+
+
+def test_production_run_carries_the_assessment(spark):
+    from tidegauge.params import Percentile
+
+    days = business(12)
+    rows = [("M", c, d, 10.0 + (i + k) % 3, 10.0, 100.0, 1e6, 1) for i, d in enumerate(days) for k, c in enumerate("ABCD")]
+    p = panel(spark, rows)
+    lim = frame(spark, "market string, ts_code string, trade_date date, is_limit_up boolean, is_limit_down boolean, limit_method string, limit_up_source string, limit_down_source string, limit_up_status string, limit_down_status string, row_seq bigint", [("M", "A", days[3], True, False, "list", "", "", "", "", 1)])
+    ib = frame(spark, "market string, benchmark string, trade_date date, open double, high double, low double, close double", [("M", "I", d, 10.0, 11.0, 9.0, 10.0 + i % 2) for i, d in enumerate(days)])
+    out = market_temperature(p, lim, ib, Windows(3, 5, 5, 5, 3, 3, 3, 2, 4), Quality(minimum_universe=5, production=True), Percentile(10, 3)).orderBy("trade_date").collect()
+    assert len(out) == 12 and all(r.production_gate == "INVALID" and r.raw_market_temperature is None for r in out)
+    for code in ("HISTORICAL_LIST_DATE_INCOMPLETE", "EXPECTED_UNIVERSE_BELOW_MINIMUM_4", "SURVIVORSHIP_BIAS_WARNING", "PARTIAL_STOCK_PANEL_SYMBOLS_4"):
+        assert code in out[-1].data_quality_warnings.split(";")

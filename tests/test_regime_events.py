@@ -228,3 +228,14 @@ def test_partitioned_upsert_touches_only_its_partitions(spark, tmp_path):
     tb.upsert_partitions(spark, path, frame(spark, ddl, [("b", 2, 9, 1), ("c", 2, 9, 1)]), ["k"], "yr")
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 9), ("c", 9)]
     assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t" / "yr=1").iterdir()}
+
+
+def test_live_stream_publishes_only_the_live_day(spark, tmp_path):
+    full = wave(spark)
+    last = full.filter(F.col("trade_date") == F.lit(day(149)))
+    last.coalesce(1).write.parquet(str(tmp_path / "live"))
+    stream = spark.readStream.schema(full.schema).parquet(str(tmp_path / "live"))
+    lv.run_live(stream, full, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = advisory_frame(build_states(full)).filter(F.col("trade_date") == F.lit(day(149))).collect()[0]
+    assert len(got) == 1 and got[0].advisory_signal == want.advisory_signal and got[0].why == want.why
