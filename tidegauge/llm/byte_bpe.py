@@ -82,8 +82,8 @@ class ByteEncoder:
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.whole = PerfectHash(self.tokens)
         self.split = regex.compile(pattern).findall
-        self.met_chunks = Recent(self.chunk, CACHED_CHUNKS)
-        self.met_pieces = Recent(self.pre_token, CACHED_PIECES)
+        self.met_chunks = Recent(self.chunks, CACHED_CHUNKS)
+        self.met_pieces = Recent(lambda new: list(map(self.pre_token, new)), CACHED_PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: always the pair of least rank, the leftmost of equals, until no pair is a token."""
@@ -115,25 +115,25 @@ class ByteEncoder:
         at = self.whole.place(spelled)
         return (at,) if self.tokens[at] == spelled else tuple(self.merge(spelled))
 
-    def pieces(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.met_pieces.many(self.split(text))))
+    def texts(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """Ids of texts that the pattern splits as wholes."""
+        found = self.met_pieces.grouped(list(map(self.split, texts)))
+        return [x[0] if len(x) == 1 else tuple(chain.from_iterable(x)) for x in found]
 
-    def chunk(self, chunk: str) -> tuple[int, ...] | None:
-        """Ids of a chunk with the space before it; None if white space beside that space could join it."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        return tuple(self.pieces(f" {chunk}"))
+    def chunks(self, chunks: list[str]) -> list[tuple[int, ...] | None]:
+        """Ids of chunks with the space before them; None if white space beside that space could join it."""
+        safe = [bool(c) and not c[0].isspace() and not c[-1].isspace() for c in chunks]
+        ids = iter(self.texts([f" {c}" for c, ok in zip(chunks, safe, strict=True) if ok]))
+        return [next(ids) if ok else None for ok in safe]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, texts: list[str]) -> list[tuple[int, ...]]:
         """A match of the pattern holds a space only as its first character or in a run of white space. So a text whose
         spaces all stand alone can be cut before each; any other text is split by the pattern as a whole."""
-        if not text:
-            return []
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return self.pieces(text)
-        found = self.met_chunks.many(rest)
-        return self.pieces(text) if None in found else [*self.pieces(first), *chain.from_iterable(found)]
+        parts = [text.split(" ") for text in texts]
+        rest = self.met_chunks.grouped([p[1:] for p in parts])
+        cut = [None not in r and bool(p[0]) and not p[0][-1].isspace() for p, r in zip(parts, rest, strict=True)]
+        heads = self.texts([p[0] if ok else text for p, ok, text in zip(parts, cut, texts, strict=True)])
+        return [tuple(chain(h, *r)) if ok else h for h, r, ok in zip(heads, rest, cut, strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -161,7 +161,7 @@ def encode_bytes(docs: DataFrame, path: str | None = None, pattern: str | None =
         for batch in batches:
             content = batch.column("text").to_pylist()
             for a, b in slices(content):
-                rows = [encoder.encode(text) for text in content[a:b]]
+                rows = encoder.encode(content[a:b])
                 values = np.fromiter(chain.from_iterable(rows), np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), list_array(values, np.array([len(x) for x in rows]), pa.int32())], ["doc_id", "ids"])
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,10 +91,10 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
 
 
 class Recent:
-    """Values of ``make(key)`` for the keys met lately: two generations of ``most`` keys, the older dropped when the
-    newer is full. It changes speed only."""
+    """Values of keys met lately: two generations of ``most`` keys, the older dropped when the newer is full; ``make``
+    gives those of a list of new keys. It changes speed only."""
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable[[list], list], most: int):
         self.make, self.most = make, most
         self.now: dict = {}
         self.before: dict = {}
@@ -104,8 +105,14 @@ class Recent:
             if len(self.now) + len(new) > self.most:
                 self.before, self.now = self.now, {}
                 new = set(keys)
-            now, before, make = self.now, self.before, self.make
-            for key in new:
-                value = before.get(key, before)
-                now[key] = make(key) if value is before else value
+            again = new.intersection(self.before)
+            self.now.update((key, self.before[key]) for key in again)
+            new = list(new - again)
+            self.now.update(zip(new, self.make(new), strict=True))
         return list(map(self.now.__getitem__, keys))
+
+    def grouped(self, groups: list[list]) -> list[list]:
+        """``many`` of each group, all at once."""
+        found = self.many(list(chain.from_iterable(groups)))
+        ends = list(accumulate(map(len, groups)))
+        return [found[a:b] for a, b in zip([0, *ends], ends, strict=False)]

@@ -5,17 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import approximate_neighbours
 from .byte_bpe import decode_bytes, encode_bytes
-from .common import table
+from .common import fold_of, table
+from .hamming import hamming_top_k, sign_codes
 from .lengths import token_counts
+from .ngram import deleted_interpolation
 from .packing import pack_documents
+from .quality import quality_scores
+from .secret_scan import KINDS, scan_secrets
+from .simhash import near_duplicates
 from .token_files import token_file_round_trip
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = deleted_interpolation(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 4) != 2)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = approximate_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hamming_top_k(sign_codes(table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", F.col("piece_crc32").alias("ids_crc32"), "sequence_id", "offset")
@@ -36,5 +67,29 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_best_fit_packing, op8_token_files, op9_byte_bpe)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_secrets(table(spark, sf_dir, "documents"))
+    place = F.array(*[F.lit(k) for k in KINDS])
+    ordered = F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), F.array_position(place, f["kind"]).alias("kind_place"), f["kind"].alias("kind"), f["end"].alias("end"))))
+    base = F.filter("ordered", lambda f: f["kind"] != "model")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    counts = [F.size(F.expr(f"filter(ordered, f -> f.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]
+    return scanned.select("doc_id", ordered.alias("ordered")).select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("ordered")).alias("spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_deleted_interpolation,
+        op2_simhash_near_dedup,
+        op3_token_counts,
+        op4_quality_discriminant,
+        op5_multiprobe_neighbours,
+        op6_best_fit_packing,
+        op7_hamming_top_k,
+        op8_token_files,
+        op9_byte_bpe,
+        op10_secret_scan,
+    )
+}
 ORACLES: dict[str, str] = {}

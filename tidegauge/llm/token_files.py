@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, shared_dir, staged
+from .common import keyed_texts, shared_dir, slices, staged
 from .word_bpe import default_path, word_encoder
 
 NO_ID = np.iinfo(np.int64).min
@@ -59,12 +60,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         with open(own, "wb") as out:
             for batch in batches:
                 ids += [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
-                for text in batch.column("text").to_pylist():
-                    tokens = np.append(encoder.encode(text), np.uint32(end_id))
+                content = batch.column("text").to_pylist()
+                for a, b in slices(content):
+                    rows = [np.append(x, np.uint32(end_id)) for x in encoder.encode(content[a:b])]
+                    offsets += [offsets[-1] + n for n in accumulate(map(len, rows))]
+                    tokens = np.concatenate(rows)
                     if tokens.max() > limit:
                         raise ValueError(f"an id over {limit} does not fit {id_type}")
                     tokens.astype(id_type).tofile(out)
-                    offsets.append(offsets[-1] + len(tokens))
         if not ids:
             os.remove(own)
             return

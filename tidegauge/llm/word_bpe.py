@@ -40,22 +40,22 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.merges = self.library.model
         self.letters = byte_letters()
-        self.met_chunks = Recent(self.chunk, CACHED_CHUNKS)
-        self.met_pieces = Recent(self.piece, CACHED_PIECES)
+        self.met_chunks = Recent(self.chunks, CACHED_CHUNKS)
+        self.met_pieces = Recent(lambda new: list(map(self.piece, new)), CACHED_PIECES)
 
     def piece(self, piece: str) -> tuple[int, ...]:
         spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
         return tuple([token.id for token in self.merges.tokenize(spelled)])
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a chunk without spaces."""
-        if not PLAIN.fullmatch(chunk):  # "<" too: it may begin one of the added tokens
-            return tuple(self.library.encode(chunk, add_special_tokens=False).ids)
-        return tuple(chain.from_iterable(self.met_pieces.many(PIECES.findall(chunk.lower()))))
+    def chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of chunks without spaces."""
+        plain = [PLAIN.fullmatch(c) is not None for c in chunks]  # "<" is not: it may begin one of the added tokens
+        ids = iter(self.met_pieces.grouped([PIECES.findall(c.lower()) for c, ok in zip(chunks, plain, strict=True) if ok]))
+        return [tuple(chain.from_iterable(next(ids))) if ok else tuple(self.library.encode(c, add_special_tokens=False).ids) for c, ok in zip(chunks, plain, strict=True)]
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        return np.fromiter(chain.from_iterable(self.met_chunks.many(parts)), np.uint32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.met_chunks.grouped([text.replace("\n", " ").split(" ") for text in texts])
+        return [np.fromiter(chain.from_iterable(x), np.uint32) for x in found]
 
 
 @lru_cache(maxsize=2)
@@ -80,7 +80,7 @@ def encode_words(texts: DataFrame, path: str, end_id: int) -> DataFrame:
             ids = batch.column("doc_id")
             content = batch.column("text").to_pylist()
             for a, b in slices(content):
-                rows = [np.concatenate([encoder.encode(text), end]).astype("<u4").tobytes() for text in content[a:b]]
+                rows = [np.concatenate([x, end]).astype("<u4").tobytes() for x in encoder.encode(content[a:b])]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
     return texts.mapInArrow(run, "doc_id long, ids binary")
