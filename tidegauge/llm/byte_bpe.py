@@ -18,9 +18,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import Recent, keyed_texts, list_array, slices
+from .common import Recent, keyed_texts, list_array, slices, without_gc
 
 CACHED_CHUNKS, CACHED_PIECES = 300_000, 150_000
+NONE = None
+NUMBERS = list(range(-1, 70))
 ODD_A, ODD_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
@@ -80,35 +82,44 @@ class ByteEncoder:
 
         self.tokens = read_ranks(path)
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.pairs = {(t[0], t[1]): i for t, i in self.ranks.items() if len(t) == 2}
         self.whole = PerfectHash(self.tokens)
         self.split = regex.compile(pattern).findall
         self.met_chunks = Recent(self.chunks, CACHED_CHUNKS)
         self.met_pieces = Recent(lambda new: list(map(self.pre_token, new)), CACHED_PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece: always the pair of least rank, the leftmost of equals, until no pair is a token."""
-        rank, n = self.ranks.get, len(piece)
-        after, before = list(range(1, n + 2)), list(range(-1, n))  # neighbours' first bytes; n: the end
-        heap = [(r << 32) | i for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        """Ids of a piece: always the pair of least rank, the leftmost of equals, until no pair is a token. ``best`` has the
+        rank of each part with its right neighbour, NONE if that is no token or the part is gone."""
+        n, rank = len(piece), self.ranks.get
+        after, before = (NUMBERS[2 : n + 3], NUMBERS[:n]) if n < 64 else (list(range(1, n + 2)), list(range(-1, n)))
+        ids = list(map(self.single.__getitem__, piece))
+        best = list(map(self.pairs.get, zip(piece, piece[1:], strict=False)))
+        best.append(NONE)
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(best) if r is not NONE]
         heapify(heap)
-        gone = bytearray(n + 1)
         while heap:
             top = heappop(heap)
-            i, r = top & 0xFFFFFFFF, top >> 32
-            if gone[i] or (j := after[i]) >= n or rank(piece[i : (k := after[j])]) != r:
-                continue  # one of the pair has been merged meanwhile
-            gone[j] = 1
-            after[i] = k
-            before[k] = i
-            if k < n and (r := rank(piece[i : after[k]])) is not None:
-                heappush(heap, (r << 32) | i)
-            if (h := before[i]) >= 0 and (r := rank(piece[h:k])) is not None:
-                heappush(heap, (r << 32) | h)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
+            i, r = top & mask, top >> shift
+            if best[i] != r:
+                continue
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i], ids[j], best[i], best[j] = r, -1, NONE, NONE
+            if k < n:
+                before[k] = i
+                if (r := rank(piece[i : after[k]])) is not None:
+                    best[i] = r
+                    heappush(heap, r << shift | i)
+            if i:
+                h = before[i]
+                if (r := rank(piece[h:k])) is not None:
+                    heappush(heap, r << shift | h)
+                best[h] = r
+        return [i for i in ids if i >= 0]
 
     def pre_token(self, piece: str) -> tuple[int, ...]:
         spelled = piece.encode("utf-8", "surrogatepass")
@@ -158,7 +169,7 @@ def encode_bytes(docs: DataFrame, path: str | None = None, pattern: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(path, pattern)
-        for batch in batches:
+        for batch in without_gc(batches):
             content = batch.column("text").to_pylist()
             for a, b in slices(content):
                 rows = encoder.encode(content[a:b])
@@ -179,7 +190,9 @@ def decode_bytes(encoded: DataFrame, path: str | None = None, pattern: str | Non
             ids = batch.column("ids")
             for a in range(0, len(ids), 256):
                 part = ids.slice(a, 256)
-                decoded = [None if x is None else decode(x) for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 256), part, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                flat = part.flatten().to_numpy().tolist()
+                ends = np.cumsum(part.value_lengths().fill_null(0).to_numpy()).tolist()
+                decoded = [decode(flat[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 256), part, pa.array(decoded, pa.binary(), mask=part.is_null().to_numpy(zero_copy_only=False))], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

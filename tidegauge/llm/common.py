@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,6 +91,16 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def without_gc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; no search for cycles meanwhile, which would walk all remembered values again and again. The code
+    that takes them makes no cycles."""
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        gc.enable()
+
+
 class Recent:
     """Values of keys met lately: two generations of ``most`` keys, the older dropped when the newer is full; ``make``
     gives those of a list of new keys. It changes speed only."""

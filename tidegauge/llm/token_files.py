@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, shared_dir, slices, staged
+from .common import keyed_texts, shared_dir, slices, staged, without_gc
 from .word_bpe import default_path, word_encoder
 
 NO_ID = np.iinfo(np.int64).min
@@ -58,7 +58,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         own = f"{name}.ids.{uuid.uuid4().hex}"
         ids, offsets = [], [0]
         with open(own, "wb") as out:
-            for batch in batches:
+            for batch in without_gc(batches):
                 ids += [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
                 content = batch.column("text").to_pylist()
                 for a, b in slices(content):

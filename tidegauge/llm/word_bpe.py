@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Recent, slices
+from .common import Recent, slices, without_gc
 
 WORD_FILE = "word_bpe_49k.json"
 CACHED_CHUNKS, CACHED_PIECES = 300_000, 150_000
@@ -76,7 +76,7 @@ def encode_words(texts: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in without_gc(batches):
             ids = batch.column("doc_id")
             content = batch.column("text").to_pylist()
             for a, b in slices(content):
