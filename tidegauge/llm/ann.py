@@ -121,11 +121,13 @@ def true_neighbours(keys: DataFrame, sample: list[tuple[int, bytes]], k: int) ->
 
 def fit_tables(keys: DataFrame, asked: DataFrame, k: int, tables: int, width: float, sample: int, recall: float, most_probes: int, seed: int) -> Tables | None:
     """Projections by the number of distinct vectors, and as many probes as bring ``recall`` of the sample's neighbours."""
-    n = keys.count()
     picked = [(r.rep, bytes(r.key)) for r in asked.orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()]
-    if not n or not picked:
+    if not picked:
         return None
-    dims = len(picked[0][1]) // 8
+    size = len(picked[0][1])
+    dims, keys = size // 8, keys.where(F.octet_length("key") == size)
+    picked = [p for p in picked if len(p[1]) == size]
+    n = keys.count()
     hashes = int(np.clip(round(np.log2(max(n, 2)) / 3), 2, 24))
     rng = np.random.default_rng(seed)
     drawn = Tables(rng.normal(size=(tables, dims, hashes)), rng.uniform(0, width, (tables, hashes)), width)

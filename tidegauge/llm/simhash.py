@@ -174,7 +174,7 @@ def links(codes: DataFrame, radius: int, most: int = 2048, levels: int = 4) -> D
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root): least node reachable over edges (a, b). Large-star and small-star rounds by turns; each round is
+    """(node, root): least node reachable over edges (a, b), for all nodes but the roots. Large-star and small-star rounds by turns; each round is
     written to the shared folder, and a node's neighbours are never gathered: stars are joins with a minimum."""
     current, seen = edges, None
     for _ in range(rounds):
