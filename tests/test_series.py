@@ -86,3 +86,26 @@ def test_wilder_mean(spark, gap):
         want[i] = None if want[i - 1] is None or xs[i] is None else (want[i - 1] * (n - 1) + xs[i]) / n
     for g, w in zip(got, want):
         assert (g is None) == (w is None) and (w is None or abs(g - w) < 1e-12)
+
+
+def test_long_flat_tail_keeps_the_ratio_of_averages(spark):
+    """15 rises, 20 falls, then 600 equal closes: gains and losses fade together, so the index must stay where it was."""
+    n, closes = 14, [100.0]
+    for step in [1.0] * 15 + [-1.3] * 20 + [0.0] * 600:
+        closes.append(closes[-1] + step)
+    gains = [None, *[max(b - a, 0.0) for a, b in zip(closes, closes[1:])]]
+    losses = [None, *[max(a - b, 0.0) for a, b in zip(closes, closes[1:])]]
+
+    def plain(xs):
+        out, mean = [], None
+        for i, x in enumerate(xs):
+            mean = None if i < n else sum(xs[1 : n + 1]) / n if i == n else (mean * (n - 1) + x) / n
+            out.append(mean)
+        return out
+
+    df = spark.createDataFrame([("M", i, g, x) for i, (g, x) in enumerate(zip(gains, losses))], "market string, trade_date int, g double, l double")
+    got = df.withColumns({"g": sr.wilder_mean("g", "trade_date", ["market"], n), "l": sr.wilder_mean("l", "trade_date", ["market"], n)}).orderBy("trade_date").collect()
+    for row, g, x in zip(got, plain(gains), plain(losses)):
+        assert (row.g is None) == (g is None)
+        if g is not None:
+            assert row.g == pytest.approx(g, rel=1e-9, abs=0) and row.l == pytest.approx(x, rel=1e-9, abs=0)

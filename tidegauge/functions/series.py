@@ -6,7 +6,6 @@ row per key and trading day, so a window partition is bounded by the length of t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, Window, WindowSpec
@@ -104,24 +103,17 @@ def degenerate_mask(value: str | Column, keys: Keys, window: int, max_unique: in
     )
 
 
-def ema_depth(span: int, tolerance: float = 1e-17) -> int:
-    """Rows after which an older value weighs less than ``tolerance`` in an EMA of this span."""
-    decay = 1.0 - 2.0 / (span + 1.0)
-    return 1 if decay <= 0 else math.ceil(math.log(tolerance) / math.log(decay)) + 1
-
-
-def valid_ema(value: str | Column, keys: Keys, span: int | Column, order: str = "trade_date", max_span: int | None = None) -> Column:
+def valid_ema(value: str | Column, keys: Keys, span: int | Column, order: str = "trade_date") -> Column:
     """EMA over non-null observations; a null row stays null and does not touch the filter.
 
-    The null flag joins the partition keys, so valid rows form their own gap-free series. ``span`` may be
-    a column that is constant per key (a parameter grid); ``max_span`` then bounds the look-back.
+    The null flag joins the partition keys, so valid rows form their own gap-free series, of which every row
+    is folded. ``span`` may be a column that is constant per key (a parameter grid).
     """
-    longest = max_span if isinstance(span, Column) else span
-    if longest is None or longest < 1:
+    if not isinstance(span, Column) and span < 1:
         raise ValueError("span must be >= 1")
     value = col(value)
     alpha = F.lit(2.0) / (span + 1.0) if isinstance(span, Column) else F.lit(2.0 / (span + 1.0))
-    seen = F.collect_list(value).over(trailing([*keys, value.isNull()], ema_depth(longest), order))
+    seen = F.collect_list(value).over(running([*keys, value.isNull()], order))
     rest = F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0)))
     folded = F.aggregate(rest, F.get(seen, F.lit(0)), lambda acc, v: alpha * v + (F.lit(1.0) - alpha) * acc)
     return F.when(value.isNotNull(), folded)
@@ -141,23 +133,19 @@ def valid_extreme(value: str | Column, keys: Keys, n: int, maximum: bool, order:
     return F.when(value.isNotNull(), agg(value).over(trailing([*keys, value.isNull()], n, order)))
 
 
-def wilder_depth(window: int, tolerance: float = 1e-17) -> int:
-    return math.ceil(math.log(tolerance) / math.log((window - 1) / window)) if window > 1 else 1
-
-
 def wilder_mean(value: str | Column, position: str | Column, keys: Keys, window: int, order: str = "trade_date") -> Column:
     """Wilder average: row ``window`` (0-based) is the mean of rows 1..window, then a 1/window update.
 
-    A missing value after the seed, or an all-missing seed, leaves the rest of the series NULL. The fold
-    looks back only as far as a value can still move the result.
+    A missing value after the seed, or an all-missing seed, leaves the rest of the series NULL. Every row after
+    the seed is folded (one calendar at most): a ratio of two averages needs old rows even where each average
+    alone has forgotten them.
     """
     value, position = col(value), col(position)
-    depth = wilder_depth(window)
     upto = running(keys, order)
     seed = F.avg(F.when((position >= 1) & (position <= window), value)).over(upto)
     broken = F.max(F.when(position > window, value.isNull()).otherwise(False)).over(upto)
-    seen = F.collect_list(value).over(trailing(keys, depth, order))
-    since = F.least(position - window, F.lit(depth)).cast("int")
+    seen = F.collect_list(value).over(upto)
+    since = (position - window).cast("int")
     tail = F.when(since > 0, F.slice(seen, -since, since)).otherwise(F.array().cast("array<double>"))
     folded = F.aggregate(tail, seed, lambda acc, v: (acc * (window - 1.0) + v) / float(window))
     return F.when((position >= window) & ~broken & seed.isNotNull(), folded)

@@ -375,19 +375,19 @@ def limit_cross_check(cached: DataFrame, derived: DataFrame, keys: Sequence[str]
         F.explode(F.array(*[F.struct(F.lit(n).alias("reason"), F.col(n).alias("trade_date")) for n in ("max_down", "median", "max_up")])).alias("p"),
     ).select(*keys, "p.*")
 
+    days_wanted = picks.select(*by).distinct()
+
     def members(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*by, "ts_code").agg(F.bool_or("is_limit_up").alias(f"{name}_up"), F.bool_or("is_limit_down").alias(f"{name}_down")).join(picks.select(*by).distinct(), by, "left_semi")
+        return df.join(days_wanted, by, "left_semi").groupBy(*by, "ts_code").agg(F.bool_or("is_limit_up").alias(f"{name}_up"), F.bool_or("is_limit_down").alias(f"{name}_down"))
 
     paired = members(cached, "a").join(members(derived, "b"), [*by, "ts_code"], "full_outer")
-    sides = []
-    for side in ("up", "down"):
+
+    def counts(side: str) -> Column:
         a, b = flag(F.col(f"a_{side}")), flag(F.col(f"b_{side}"))
-        sides.append(
-            paired.groupBy(*by).agg(
-                count_true(a).alias("cached_count"), count_true(b).alias("derived_count"), count_true(a & ~b).alias("only_cached"), count_true(b & ~a).alias("only_derived"), count_true(a & b).alias("_both"), count_true(a | b).alias("_any")
-            ).withColumn("side", F.lit(side))
-        )
-    merged = sides[0].unionByName(sides[1])
+        found = {"cached_count": a, "derived_count": b, "only_cached": a & ~b, "only_derived": b & ~a, "_both": a & b, "_any": a | b}
+        return F.struct(F.lit(side).alias("side"), *[count_true(c).alias(n) for n, c in found.items()])
+
+    merged = paired.groupBy(*by).agg(F.array(counts("up"), counts("down")).alias("_s")).select(*by, F.explode("_s").alias("_s")).select(*by, "_s.*")
     jaccard = F.when(F.col("_any") == 0, 1.0).otherwise(F.col("_both") / F.nullif(F.col("_any").cast("double"), F.lit(0.0)))
     return picks.join(merged, by).select(
         *keys, "reason", "trade_date", "side", "cached_count", "derived_count", "only_cached", "only_derived", jaccard.alias("jaccard"), F.when((F.col("only_cached") == 0) & (F.col("only_derived") == 0), "PASS").otherwise("MISMATCH").alias("status")

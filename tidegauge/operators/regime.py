@@ -54,8 +54,8 @@ def mark_valid(daily: DataFrame) -> DataFrame:
     )
 
 
-def add_smoothing(df: DataFrame, keys: Sequence[str], span: int | Column = 3, slope_lookback: int = 3, turning_window: int = 10, max_span: int | None = None, raw: str = "raw_temperature") -> DataFrame:
-    smoothed = df.withColumn("smoothed_temperature", valid_ema(raw, keys, span, max_span=max_span))
+def add_smoothing(df: DataFrame, keys: Sequence[str], span: int | Column = 3, slope_lookback: int = 3, turning_window: int = 10, raw: str = "raw_temperature") -> DataFrame:
+    smoothed = df.withColumn("smoothed_temperature", valid_ema(raw, keys, span))
     ema = F.col("smoothed_temperature")
     ranged = smoothed.withColumns(
         {
@@ -134,6 +134,6 @@ def regime_indicators(daily: DataFrame, variants: Sequence[Variant] | None = Non
         wide = add_variants(marked, group)
         spans = {v.machine.ema_span for v in group}
         span = group[0].machine.ema_span if len(spans) == 1 else F.col("p.ema_span")
-        part = add_smoothing(wide, by, span, lookback, turning, max(spans))
+        part = add_smoothing(wide, by, span, lookback, turning)
         out = part if out is None else out.unionByName(part)
     return add_anchor_flags(add_module_deltas(out, by))

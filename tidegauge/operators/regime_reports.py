@@ -214,10 +214,14 @@ def extremes(states: DataFrame, n: int = 10, reach: int = 5, keys: Sequence[str]
     return wanted.join(placed.select(*keys, "position", "trade_date", "raw_temperature", value, "state", "signal"), [*keys, "position"])
 
 
-def top_days(states: DataFrame, n: int = 10, value: str = "smoothed_temperature") -> DataFrame:
-    """Overall hottest days as a top-k (the planner keeps ``n`` rows per task, then merges)."""
+def top_days(states: DataFrame, n: int = 10, keys: Sequence[str] = ("market",), value: str = "smoothed_temperature") -> DataFrame:
+    """The ``n`` hottest and coldest valid days of each market with their ``kind`` and ``rank``; earlier days win ties."""
     valid = states.filter((F.col("state") != "DATA_INVALID") & F.col(value).isNotNull())
-    return valid.orderBy(F.col(value).desc(), "trade_date", "market").limit(n)
+    sides = []
+    for kind, direction in (("hottest", F.col(value).desc()), ("coldest", F.col(value).asc())):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(direction, "trade_date"))
+        sides.append(valid.withColumns({"kind": F.lit(kind), "rank": place}).filter(F.col("rank") <= n))
+    return sides[0].unionByName(sides[1])
 
 
 def episode_audit(episodes: DataFrame, targets: Sequence[str], fill_to: int = 5, keys: Sequence[str] = ("market",)) -> DataFrame:

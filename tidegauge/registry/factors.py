@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import factors as fx
@@ -263,6 +264,34 @@ register("pf13_prepare_index", lambda s, d: fx.prepare_index(td.index_bars(s, d)
 register("pf14_true_range", lambda s, d: fx.add_true_range(td.index_bars(s, d), IDX), "market benchmark trade_date position:n true_range:f", "index_moves")
 register("pf15_wilder_atr", stretch, "market benchmark trade_date atr14:f", "stretch")
 register("pf16_wilder_rsi", stretch, "market benchmark trade_date rsi14:f", "stretch")
+FLAT_FROM = 40
+cte("index_flat", f"""
+SELECT market, benchmark, trade_date, position, CASE WHEN position >= {FLAT_FROM} THEN frozen ELSE close END AS close
+FROM (SELECT *, row_number() OVER (PARTITION BY market, benchmark ORDER BY trade_date) - 1 AS position,
+  nth_value(close, {FLAT_FROM + 1}) OVER (PARTITION BY market, benchmark ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS frozen FROM index_bars)
+""")
+cte("flat_moves", """
+SELECT *, CASE WHEN close - previous_close > 0 THEN close - previous_close WHEN previous_close IS NOT NULL THEN 0.0E0 END AS gain,
+  CASE WHEN close - previous_close < 0 THEN previous_close - close WHEN previous_close IS NOT NULL THEN 0.0E0 END AS loss
+FROM (SELECT *, lag(close) OVER (PARTITION BY market, benchmark ORDER BY trade_date) AS previous_close FROM index_flat)
+""")
+cte("flat_rsi", f"""
+SELECT *, CASE WHEN avg_gain = 0 AND avg_loss = 0 THEN 50.0E0 WHEN avg_loss = 0 THEN 100.0E0 ELSE 100.0E0 - 100.0E0 / (1.0E0 + avg_gain / nullif(avg_loss, 0)) END AS rsi14
+FROM (SELECT *, {_wilder('gain', W.rsi)} AS avg_gain, {_wilder('loss', W.rsi)} AS avg_loss
+  FROM flat_moves WINDOW u AS (PARTITION BY market, benchmark ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+""")
+
+
+def flat_stretch(spark, d):
+    """The index bars with every close from row FLAT_FROM on frozen: the averages fade, their ratio must not."""
+    bars = fx.prepare_index(td.index_bars(spark, d))
+    w = Window.partitionBy(*IDX).orderBy("trade_date")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    frozen = F.when(F.row_number().over(w) > FLAT_FROM, F.nth_value("close", FLAT_FROM + 1).over(whole)).otherwise(F.col("close"))
+    return fx.add_stretch(bars.withColumn("close", frozen), W, IDX)
+
+
+register("pf16_rsi_flat_tail", flat_stretch, "market benchmark trade_date rsi14:f", "flat_rsi")
 register("pf17_index_distance_returns", stretch, "market benchmark trade_date ma20_atr:f return5d:f return20d:f", "stretch")
 cte("stretch_wide", """
 SELECT market, trade_date, """ + ", ".join(

@@ -246,8 +246,9 @@ def pool(spark, d):
 
 _UP = "close >= open * 2 - 1e-8"
 _DOWN = "close <= open / 2 + 1e-8"
-cte("pool_u", f"SELECT market, ts_code, trade_date, (market <> 'ASIA' AND sk % 7 IN (1, 3)) OR market = 'ASIA' OR {_UP} AS is_limit_up, (market <> 'ASIA' AND sk % 7 IN (2, 5)) OR {_DOWN} AS is_limit_down FROM bars WHERE sk % 7 <> 0")
-cte("pool_d", f"SELECT market, ts_code, trade_date, (market <> 'ASIA' AND sk % 7 IN (1, 3)) OR {_UP} AS is_limit_up, (market <> 'ASIA' AND sk % 7 IN (2, 5)) OR market = 'ASIA' OR {_DOWN} AS is_limit_down FROM bars WHERE sk % 7 <> 0")
+_POOL = "SELECT *, market <> 'ASIA' AND sk % 7 IN (1, 3) AS up, market <> 'ASIA' AND sk % 7 IN (2, 5) AS down, NOT bool_or(market <> 'ASIA' AND sk % 7 <= 5) OVER (PARTITION BY market, trade_date) AS guess FROM bars WHERE sk % 7 <> 0"
+cte("pool_u", f"SELECT market, ts_code, trade_date, up OR guess OR {_UP} AS is_limit_up, down OR {_DOWN} AS is_limit_down FROM ({_POOL})")
+cte("pool_d", f"SELECT market, ts_code, trade_date, up OR {_UP} AS is_limit_up, down OR guess OR {_DOWN} AS is_limit_down FROM ({_POOL} AND close > 30)")
 register("in21_limit_flags_from_pool", lambda s, d: vd.limit_flags_from_pool(pool(s, d), "U"), "market ts_code trade_date is_limit_up is_limit_down", "pool_u")
 
 
@@ -276,7 +277,7 @@ def both_pools(spark, d):
     return vd.merge_limit_pools(up, down)
 
 
-cte("merged_pools", "SELECT u.market, u.ts_code, u.trade_date, u.is_limit_up OR coalesce(d.is_limit_up, false) AS is_limit_up, u.is_limit_down OR coalesce(d.is_limit_down, false) AS is_limit_down, 'U' AS pool FROM pool_u u JOIN bars b USING (market, ts_code, trade_date) LEFT JOIN (SELECT p.* FROM pool_d p JOIN bars b USING (market, ts_code, trade_date) WHERE b.close > 30) d USING (market, ts_code, trade_date)")
+cte("merged_pools", "SELECT u.market, u.ts_code, u.trade_date, u.is_limit_up OR coalesce(d.is_limit_up, false) AS is_limit_up, u.is_limit_down OR coalesce(d.is_limit_down, false) AS is_limit_down, 'U' AS pool FROM pool_u u JOIN bars b USING (market, ts_code, trade_date) LEFT JOIN pool_d d USING (market, ts_code, trade_date)")
 register("in24_merge_limit_pools", both_pools, "market ts_code trade_date is_limit_up is_limit_down pool", "merged_pools")
 register("in25_pool_status", lambda s, d: vd.pool_status(vd.limit_flags_from_pool(pool(s, d), "U")), "market trade_date limit_up_status limit_down_status",
          "(SELECT market, trade_date, CASE WHEN bool_or(is_limit_up) THEN 'REAL_ROWS' ELSE 'REAL_ZERO' END AS limit_up_status, CASE WHEN bool_or(is_limit_down) THEN 'REAL_ROWS' ELSE 'REAL_ZERO' END AS limit_down_status FROM pool_u GROUP BY market, trade_date)")

@@ -164,7 +164,8 @@ UNION ALL SELECT market, 'coldest', trade_date, position, row_number() OVER (PAR
 """)
 cte("extreme_rows", "SELECT e.market, e.kind, e.rank, e.event_date, p.position - e.at AS \"offset\", p.trade_date, p.smoothed_temperature, p.state, p.signal FROM extreme_picks e JOIN placed p ON p.market = e.market AND p.position BETWEEN e.at - 5 AND e.at + 5 WHERE e.rank <= 10")
 register("rg19_extreme_audit", lambda s, d: rr.extremes(state_table(s, d)).withColumnRenamed("offset", "shift"), "market kind rank:n event_date shift:n trade_date smoothed_temperature:f state signal", '(SELECT *, "offset" AS shift FROM extreme_rows)')
-register("rg19_top_days", lambda s, d: rr.top_days(states(s, d)), "market trade_date smoothed_temperature:f state signal", "(SELECT * FROM base_state WHERE smoothed_temperature IS NOT NULL ORDER BY smoothed_temperature DESC, trade_date, market LIMIT 10)")
+_RANKED = "SELECT *, '{0}' AS kind, row_number() OVER (PARTITION BY market ORDER BY smoothed_temperature {1}, trade_date) AS rank FROM base_state WHERE smoothed_temperature IS NOT NULL AND state <> 'DATA_INVALID'"
+register("rg19_top_days", lambda s, d: rr.top_days(state_table(s, d)), "market kind rank:n trade_date smoothed_temperature:f state signal", f"(SELECT * FROM ({_RANKED.format('hottest', 'DESC')} UNION ALL {_RANKED.format('coldest', 'ASC')}) WHERE rank <= 10)")
 AUDIT = ("1996-06-30", "1998-10-01", "2000-03-15")
 cte("audit_hits", f"""
 SELECT market, episode_type, episode_id, min(target) AS target FROM (SELECT e.*, t.target FROM episodes e, (SELECT unnest([{', '.join(f"DATE '{t}'" for t in AUDIT)}]) AS target) t

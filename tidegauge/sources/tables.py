@@ -17,10 +17,13 @@ _local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the session names in ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The shared folder the session names in ``spark.checkpoint.dir``. Only a local session may leave it unset; it then
+    gets a folder of its own for as long as it runs."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="spark-tidegauge-", dir="/tmp")

@@ -107,9 +107,9 @@ def normalize_history(df: DataFrame, keys: Sequence[str] = ("market",)) -> DataF
     out = out.withColumns({**{c: number(c) for c in numeric}, "trade_date": parse_trade_date("trade_date")})
     if "pct_chg" not in out.columns:
         out = out.withColumn("pct_chg", F.lit(None).cast("double"))
-    reported = out.groupBy(*keys, "ts_code").agg(F.count("pct_chg").alias("_n"))
+    reported = F.count("pct_chg").over(Window.partitionBy(*keys, "ts_code"))
     change = (F.col("close") / F.nullif(F.col("pre_close"), F.lit(0.0)) - 1.0) * 100.0
-    return out.join(reported, [*keys, "ts_code"]).withColumns({"pct_chg": F.when(F.col("_n") == 0, change).otherwise(F.col("pct_chg")), "amount_rmb": F.col("amount")}).drop("_n")
+    return out.withColumn("_n", reported).withColumns({"pct_chg": F.when(F.col("_n") == 0, change).otherwise(F.col("pct_chg")), "amount_rmb": F.col("amount")}).drop("_n")
 
 
 def _previous_close() -> Column:
@@ -178,9 +178,9 @@ def rename_headers(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(HEADER_NAMES)
 
 
-def limit_flags_from_pool(pool: DataFrame, assume: str | None = None, keys: Sequence[str] = ("market",)) -> DataFrame:
+def limit_flags_from_pool(pool: DataFrame, assume: str | None = None, keys: Sequence[str] = ("market", "trade_date")) -> DataFrame:
     """Direction flags of a limit-pool delivery: explicit fields first, the pool's own side when a
-    market's delivery has no direction fields at all, and price against limit price on top."""
+    delivery (``keys``: one market's day) has no direction fields at all, and price against limit price on top."""
     have = set(pool.columns)
     text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in have else F.lit("")
     positive = pool.filter(flag(number("close") > 0)) if "close" in have else pool

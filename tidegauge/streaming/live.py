@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -31,13 +31,14 @@ def live_snapshot(history: DataFrame, live: DataFrame, keys: Sequence[str] = ("m
     return states.join(today, [*keys, "trade_date"], "left_semi"), advisory.join(today, [*keys, "trade_date"], "left_semi")
 
 
-def run_live(live_daily: DataFrame, history: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("market",)) -> StreamingQuery:
-    """Per micro-batch of scored live rows, overwrite only the live table."""
+def run_live(live_daily: DataFrame, history: DataFrame | Callable[[], DataFrame], target: str, checkpoint: str, keys: Sequence[str] = ("market",)) -> StreamingQuery:
+    """Per micro-batch of scored live rows, overwrite the live table's partitions of the series in the batch; other
+    series keep theirs. ``history`` may be a function, which is then called for every batch."""
 
     def publish(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            _, advisory = live_snapshot(history, batch, keys)
-            save_dataset(advisory, target)
+            _, advisory = live_snapshot(history() if callable(history) else history, batch, keys)
+            save_dataset(advisory, target, keys, bounded=True)
 
     return live_daily.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
