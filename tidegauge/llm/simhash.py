@@ -166,7 +166,9 @@ def links(codes: DataFrame, radius: int, most: int = 2048, levels: int = 4) -> D
         sizes = staged(dealt.groupBy("kind", "key").count().where("count > 1"), "bucket-sizes")
         last = level == levels - 1
         fit = sizes if last else sizes.where(F.col("count") <= most)
-        out.append(dealt.join(fit.select("kind", "key"), ["kind", "key"]).groupBy("kind", "key").applyInPandas(run, "a long, b long"))
+        mine = dealt.join(fit.select("kind", "key"), ["kind", "key"])
+        spread = mine.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "key")  # few bytes, much work: not to be coalesced
+        out.append(spread.groupBy("kind", "key").applyInPandas(run, "a long, b long"))
         if last or sizes.where(F.col("count") > most).isEmpty():
             break
         rows = staged(dealt.join(sizes.where(F.col("count") > most).select("kind", "key"), ["kind", "key"]).select("bits", "kind").distinct(), "crowded")
