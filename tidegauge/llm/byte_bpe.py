@@ -11,17 +11,17 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import Recent, keyed_texts, list_array, slices, without_gc
+from .common import Recent, keyed_texts, int_lists, slices, without_gc
 
 CACHED_CHUNKS, CACHED_PIECES = 300_000, 150_000
 NONE = None
+UNSAFE = b""
 NUMBERS = list(range(-1, 70))
 ODD_A, ODD_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -82,6 +82,7 @@ class ByteEncoder:
 
         self.tokens = read_ranks(path)
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.pairs = {(t[0], t[1]): i for t, i in self.ranks.items() if len(t) == 2}
         self.whole = PerfectHash(self.tokens)
@@ -121,30 +122,30 @@ class ByteEncoder:
                 best[h] = r
         return [i for i in ids if i >= 0]
 
-    def pre_token(self, piece: str) -> tuple[int, ...]:
+    def pre_token(self, piece: str) -> bytes:
         spelled = piece.encode("utf-8", "surrogatepass")
         at = self.whole.place(spelled)
-        return (at,) if self.tokens[at] == spelled else tuple(self.merge(spelled))
+        return self.raw[at] if self.tokens[at] == spelled else b"".join([self.raw[i] for i in self.merge(spelled)])
 
-    def texts(self, texts: list[str]) -> list[tuple[int, ...]]:
+    def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that the pattern splits as wholes."""
-        found = self.met_pieces.grouped(list(map(self.split, texts)))
-        return [x[0] if len(x) == 1 else tuple(chain.from_iterable(x)) for x in found]
+        return [b"".join(x) for x in self.met_pieces.grouped(list(map(self.split, texts)))]
 
-    def chunks(self, chunks: list[str]) -> list[tuple[int, ...] | None]:
-        """Ids of chunks with the space before them; None if white space beside that space could join it."""
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks with the space before them; UNSAFE if white space beside that space could join it."""
         safe = [bool(c) and not c[0].isspace() and not c[-1].isspace() for c in chunks]
         ids = iter(self.texts([f" {c}" for c, ok in zip(chunks, safe, strict=True) if ok]))
-        return [next(ids) if ok else None for ok in safe]
+        return [next(ids) if ok else UNSAFE for ok in safe]
 
-    def encode(self, texts: list[str]) -> list[tuple[int, ...]]:
-        """A match of the pattern holds a space only as its first character or in a run of white space. So a text whose
-        spaces all stand alone can be cut before each; any other text is split by the pattern as a whole."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text. A match of the pattern holds a space only as its first character or in a
+        run of white space. So a text whose spaces all stand alone can be cut before each; any other text is split by the
+        pattern as a whole."""
         parts = [text.split(" ") for text in texts]
         rest = self.met_chunks.grouped([p[1:] for p in parts])
-        cut = [None not in r and bool(p[0]) and not p[0][-1].isspace() for p, r in zip(parts, rest, strict=True)]
+        cut = [UNSAFE not in r and bool(p[0]) and not p[0][-1].isspace() for p, r in zip(parts, rest, strict=True)]
         heads = self.texts([p[0] if ok else text for p, ok, text in zip(parts, cut, texts, strict=True)])
-        return [tuple(chain(h, *r)) if ok else h for h, r, ok in zip(heads, rest, cut, strict=True)]
+        return [b"".join([h, *r]) if ok else h for h, r, ok in zip(heads, rest, cut, strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -173,8 +174,7 @@ def encode_bytes(docs: DataFrame, path: str | None = None, pattern: str | None =
             content = batch.column("text").to_pylist()
             for a, b in slices(content):
                 rows = encoder.encode(content[a:b])
-                values = np.fromiter(chain.from_iterable(rows), np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), list_array(values, np.array([len(x) for x in rows]), pa.int32())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), int_lists(rows)], ["doc_id", "ids"])
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 

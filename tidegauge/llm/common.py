@@ -84,11 +84,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """One list per count, cut from ``values`` in order."""
-    offsets = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+def int_lists(rows: list[bytes]) -> pa.ListArray:
+    """Lists of 32-bit integers from their little-endian bytes."""
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
 
 
 def without_gc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +111,21 @@ class Recent:
         self.before: dict = {}
 
     def many(self, keys: list) -> list:
-        new = set(keys).difference(self.now)
-        if new:
+        """No value may be None."""
+        found = list(map(self.now.get, keys))
+        if None in found:
+            gaps = [i for i, value in enumerate(found) if value is None]
+            new = {keys[i] for i in gaps}
             if len(self.now) + len(new) > self.most:
                 self.before, self.now = self.now, {}
-                new = set(keys)
-            again = new.intersection(self.before)
+            again = [key for key in new if key in self.before] if self.before else []
             self.now.update((key, self.before[key]) for key in again)
-            new = list(new - again)
+            new = list(new.difference(again))
             self.now.update(zip(new, self.make(new), strict=True))
-        return list(map(self.now.__getitem__, keys))
+            now = self.now
+            for i in gaps:
+                found[i] = now[keys[i]]
+        return found
 
     def grouped(self, groups: list[list]) -> list[list]:
         """``many`` of each group, all at once."""

@@ -56,15 +56,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         encoder, n = word_encoder(path), TaskContext.get().partitionId()
         name = f"{target}/{n:08d}"
         own = f"{name}.ids.{uuid.uuid4().hex}"
-        ids, offsets = [], [0]
+        ids, offsets, end = [], [0], end_id.to_bytes(4, "little")
         with open(own, "wb") as out:
             for batch in without_gc(batches):
                 ids += [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
                 content = batch.column("text").to_pylist()
                 for a, b in slices(content):
-                    rows = [np.append(x, np.uint32(end_id)) for x in encoder.encode(content[a:b])]
-                    offsets += [offsets[-1] + n for n in accumulate(map(len, rows))]
-                    tokens = np.concatenate(rows)
+                    rows = [x + end for x in encoder.encode(content[a:b])]
+                    offsets += [offsets[-1] + n // 4 for n in accumulate(map(len, rows))]
+                    tokens = np.frombuffer(b"".join(rows), "<u4")
                     if tokens.max() > limit:
                         raise ValueError(f"an id over {limit} does not fit {id_type}")
                     tokens.astype(id_type).tofile(out)

@@ -1,7 +1,7 @@
 """Ids of the public word tokenizer, by the tokenizers library, for whole texts.
 
 White space always ends a token there, so a text is encoded chunk by chunk, split at spaces and line feeds, and
-a worker keeps the ids of the chunks it has met (a bounded memory that only saves time). A new chunk of plain
+a worker keeps the ids of the chunks it has met, as bytes (a bounded memory that only saves time). A new chunk of plain
 letters goes straight to the library's merge model, any other to the library's whole encoder.
 """
 
@@ -10,9 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -40,22 +38,23 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.merges = self.library.model
         self.letters = byte_letters()
+        self.raw = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.met_chunks = Recent(self.chunks, CACHED_CHUNKS)
         self.met_pieces = Recent(lambda new: list(map(self.piece, new)), CACHED_PIECES)
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        return tuple([token.id for token in self.merges.tokenize(spelled)])
+        return b"".join([self.raw[token.id] for token in self.merges.tokenize(spelled)])
 
-    def chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks without spaces."""
         plain = [PLAIN.fullmatch(c) is not None for c in chunks]  # "<" is not: it may begin one of the added tokens
         ids = iter(self.met_pieces.grouped([PIECES.findall(c.lower()) for c, ok in zip(chunks, plain, strict=True) if ok]))
-        return [tuple(chain.from_iterable(next(ids))) if ok else tuple(self.library.encode(c, add_special_tokens=False).ids) for c, ok in zip(chunks, plain, strict=True)]
+        return [b"".join(next(ids) if ok else [self.raw[i] for i in self.library.encode(c, add_special_tokens=False).ids]) for c, ok in zip(chunks, plain, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.met_chunks.grouped([text.replace("\n", " ").split(" ") for text in texts])
-        return [np.fromiter(chain.from_iterable(x), np.uint32) for x in found]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        return [b"".join(x) for x in self.met_chunks.grouped([text.replace("\n", " ").split(" ") for text in texts])]
 
 
 @lru_cache(maxsize=2)
@@ -75,12 +74,12 @@ def encode_words(texts: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        end = np.array([end_id], np.uint32)
+        end = end_id.to_bytes(4, "little")
         for batch in without_gc(batches):
             ids = batch.column("doc_id")
             content = batch.column("text").to_pylist()
             for a, b in slices(content):
-                rows = [np.concatenate([x, end]).astype("<u4").tobytes() for x in encoder.encode(content[a:b])]
+                rows = [x + end for x in encoder.encode(content[a:b])]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
     return texts.mapInArrow(run, "doc_id long, ids binary")
