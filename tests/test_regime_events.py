@@ -239,3 +239,14 @@ def test_live_stream_publishes_only_the_live_day(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     want = advisory_frame(build_states(full)).filter(F.col("trade_date") == F.lit(day(149))).collect()[0]
     assert len(got) == 1 and got[0].advisory_signal == want.advisory_signal and got[0].why == want.why
+
+
+def test_live_table_keeps_other_series(spark, tmp_path):
+    """Two markets arrive in two batches; the second batch must leave the first market's rows alone."""
+    from tidegauge.sources.tables import save_dataset
+
+    target = str(tmp_path / "live")
+    for market in ("M", "N"):
+        save_dataset(frame(spark, "market string, trade_date string, x int", [(market, "2024-01-02", 1)]), target, ["market"], bounded=True)
+    save_dataset(frame(spark, "market string, trade_date string, x int", [("N", "2024-01-03", 2)]), target, ["market"], bounded=True)
+    assert sorted((r.market, r.trade_date, r.x) for r in spark.read.parquet(target).collect()) == [("M", "2024-01-02", 1), ("N", "2024-01-03", 2)]

@@ -233,14 +233,16 @@ def assess_market_coverage(coverage: DataFrame, panel: DataFrame, quality: Quali
 
 
 def production_gate(assessment: DataFrame, allow_partial: bool = False) -> None:
-    """Raise for markets whose latest day fails the thresholds (one row per market is inspected)."""
-    failed = assessment.filter(~F.col("valid")).orderBy(*assessment.columns[:1]).limit(20).collect()
-    if failed and not allow_partial:
-        lines = [
-            f"{row[0]}: observed {row['observed_universe']}, expected {row['expected_eligible_count']}, coverage {row['latest_coverage_ratio']:.1%}"
-            for row in failed
-        ]
-        raise InsufficientMarketCoverage("latest day fails the coverage gate\n" + "\n".join(lines))
+    """Raise if the latest day of any market fails the thresholds. The error counts all of them; its ``failed`` is the
+    table of their rows."""
+    failed = assessment.filter(~F.col("valid"))
+    if allow_partial:
+        return
+    n, first = failed.agg(F.count("*"), F.min(assessment.columns[0])).first()
+    if n:
+        error = InsufficientMarketCoverage(f"the latest day fails the coverage gate in {n} markets, {first} among them")
+        error.failed = failed
+        raise error
 
 
 def approximate_sources(limits: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:

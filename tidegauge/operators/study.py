@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,31 +76,40 @@ def evidence_label(n: Column, mean: Column, med: Column, excess: Column, low: Co
     )
 
 
-def bootstrap_intervals(values: DataFrame, cell: Sequence[str], value: str = "ret", samples: int = 10_000, seed: int = 42, chunk: int = 100) -> DataFrame:
+PRIME = 2147483647
+
+
+def drawn_places(seed: int, samples: np.ndarray, n: int) -> np.ndarray:
+    """(samples, n) places 0 .. n - 1: two multiplicative mixes modulo a prime, within 64 bits."""
+    first = (seed * 1000003 + samples[:, None] * 69621 + np.arange(n)[None] * 48271 + 1) % PRIME
+    second = (first * first % PRIME * 1103515245 + first * 12345 + samples[:, None]) % PRIME
+    return second % n
+
+
+def bootstrap_intervals(values: DataFrame, cell: Sequence[str], value: str = "ret", samples: int = 10_000, seed: int = 42, chunk_draws: int = 1 << 20) -> DataFrame:
     """Percentile bootstrap 95 % intervals of mean and median per cell.
 
-    The values of a cell (one per event) travel as an array to each chunk of resamples; draws are hashed
-    from (seed, sample, draw), so a lost task redraws the same numbers and nothing but the estimates is
-    shuffled. A single value is its own interval.
+    The values of a cell (one per event, so a calendar's length at most) travel as one array; draws come from (seed,
+    sample, draw) by integer arithmetic, so a lost task redraws the same numbers and any engine can repeat them. A
+    single value is its own interval.
     """
     cell = list(cell)
     packed = values.filter(F.col(value).isNotNull()).groupBy(*cell).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    spread = packed.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // chunk)))).repartition(*cell, "_c")
-    n = F.size("_v")
-    numbers = F.sequence(F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.lit(samples)) - 1)
-    draws = lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("_v", (F.pmod(F.xxhash64(F.lit(seed), s, i), n) + 1).cast("int")))
-
-    def estimate(s: Column) -> Column:
-        sample = F.array_sort(draws(s))
-        mean = F.aggregate(sample, F.lit(0.0), lambda a, x: a + x) / n
-        mid = (F.get(sample, F.floor((n - 1) / 2).cast("int")) + F.get(sample, F.floor(n / 2).cast("int"))) / 2.0
-        return F.struct(mean.alias("mean"), mid.alias("median"))
-
-    estimates = spread.select(*cell, F.explode(F.transform(numbers, estimate)).alias("_e"))
-    bounds = F.array(F.lit(0.025), F.lit(0.975))
-    return estimates.groupBy(*cell).agg(F.percentile("_e.mean", bounds).alias("_m"), F.percentile("_e.median", bounds).alias("_d")).select(
-        *cell, F.col("_m")[0].alias("MeanCI95Low"), F.col("_m")[1].alias("MeanCI95High"), F.col("_d")[0].alias("MedianCI95Low"), F.col("_d")[1].alias("MedianCI95High")
-    )
+    names = ("MeanCI95Low", "MeanCI95High", "MedianCI95Low", "MedianCI95High")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for v in batch.pop("_v"):
+                v = np.asarray(v, float)
+                step = max(1, chunk_draws // len(v))
+                drawn = [v[drawn_places(seed, np.arange(a, min(a + step, samples)), len(v))] for a in range(0, samples, step)]
+                means, middles = (np.concatenate([f(x, axis=1) for x in drawn]) for f in (np.mean, np.median))
+                found.append([*np.percentile(means, [2.5, 97.5]), *np.percentile(middles, [2.5, 97.5])])
+            yield batch.assign(**{n: [f[i] for f in found] for i, n in enumerate(names)})
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in packed.select(*cell).dtypes) + "".join(f", {n} double" for n in names)
+    return packed.repartition(*cell).mapInPandas(run, schema)
 
 
 def summarize(attached: DataFrame, cell: Sequence[str]) -> DataFrame:

@@ -172,10 +172,16 @@ def baselines(spark, d):
 
 register("ev10_baseline_table", baselines, "market benchmark horizon:n baseline_type N:n Mean:f Median:f PositiveRate:f MAEMean:f MAEMedian:f MFEMean:f MFEMedian:f", "baselines")
 _CELL = ["market", "event_type", "benchmark", "horizon"]
+_U = f"((42 * 1000003 + CAST(s AS bigint) * 69621 + i * 48271 + 1) % {st.PRIME})"
+cte("boot_cells", "SELECT market, event_type, benchmark, horizon, list(ret ORDER BY ret) AS vals, count(*) AS n FROM attached WHERE ret IS NOT NULL GROUP BY ALL")
+cte("boot_draws", f"SELECT market, event_type, benchmark, horizon, list_transform(range(n), lambda i: vals[1 + ({_U} * {_U} % {st.PRIME} * 1103515245 + {_U} * 12345 + s) % {st.PRIME} % n]) AS x FROM boot_cells, range(10000) t(s)")
+cte("boot_bounds", """
+SELECT market, event_type, benchmark, horizon, quantile_cont(m, 0.025) AS MeanCI95Low, quantile_cont(m, 0.975) AS MeanCI95High, quantile_cont(d, 0.025) AS MedianCI95Low, quantile_cont(d, 0.975) AS MedianCI95High
+FROM (SELECT market, event_type, benchmark, horizon, list_avg(x) AS m, list_aggregate(x, 'median') AS d FROM boot_draws) GROUP BY ALL
+""")
 register(
-    "ev11_bootstrap_intervals",
-    lambda s, d: st.bootstrap_intervals(attached(s, d).filter(F.col("event_type").isin(*_CONF)), _CELL, samples=1000),
-    "market event_type benchmark horizon:n MeanCI95Low:f MeanCI95High:f MedianCI95Low:f MedianCI95High:f", None,
+    "ev11_bootstrap_intervals", lambda s, d: st.bootstrap_intervals(hand_off(attached(s, d).select(*_CELL, "ret")), _CELL),
+    "market event_type benchmark horizon:n MeanCI95Low:f MeanCI95High:f MedianCI95Low:f MedianCI95High:f", "boot_bounds",
 )
 _MORE = _STATS + ", stddev_samp(ret) AS StdDev, quantile_cont(ret, 0.25) AS P25, quantile_cont(ret, 0.75) AS P75, avg(ptdd) AS PeakToTroughDDMean, quantile_cont(ptdd, 0.5) AS PeakToTroughDDMedian"
 cte("summaries", f"SELECT market, event_type, benchmark, horizon, {_MORE} FROM attached GROUP BY ALL")
