@@ -131,7 +131,7 @@ def _grid(markets: DataFrame, pairs: Sequence[tuple[str, str]], benchmarks: Sequ
     )
 
 
-def study_table(sets: DataFrame, outcomes: DataFrame, baselines: DataFrame, pairs: Sequence[tuple[str, str]], benchmarks: Sequence[str], horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ("market",), bootstrap_samples: int = 0, seed: int = 42) -> DataFrame:
+def study_table(sets: DataFrame, outcomes: DataFrame, baselines: DataFrame, pairs: Sequence[tuple[str, str]], benchmarks: Sequence[str], horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ("market",), bootstrap_samples: int = 10_000, seed: int = 42) -> DataFrame:
     """Signal x event set x benchmark x horizon with counts, both baselines, intervals and evidence label.
 
     ``sets`` is :func:`events.event_sets`. All cells come from one grouping; empty cells keep a row.
@@ -185,18 +185,19 @@ def decluster_summary(sets: DataFrame, window: int = 20, keys: Sequence[str] = (
     return grid.join(found, [*keys, "event_type", "event_set"], "left").na.fill(0, ["event_count", "episode_count"]).withColumn("decluster_window_observations", F.lit(window))
 
 
-def time_split(events: DataFrame, outcomes: DataFrame, baselines: DataFrame, benchmarks: Sequence[str], periods: Sequence[tuple[str, str, str]] = PERIODS, horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ("market",)) -> DataFrame:
-    """Confirmed signals by development/holdout period."""
+def time_split(events: DataFrame, outcomes: DataFrame, baselines: DataFrame, benchmarks: Sequence[str], periods: Sequence[tuple[str, str, str]] = PERIODS, horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ("market",), bootstrap_samples: int = 10_000, seed: int = 42) -> DataFrame:
+    """Confirmed signals by development/holdout period, with intervals of mean and median."""
     from .events import attach_outcomes
 
     keys = list(keys)
     label = F.coalesce(*[F.when(F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(n)) for n, a, b in periods])
     confirmed = events.filter(F.col("event_type").isin(*CONFIRMED_SIGNALS)).withColumn("period", label).filter(F.col("period").isNotNull())
     cell = [*keys, "period", "event_type", "benchmark", "horizon"]
-    stats = summarize(attach_outcomes(confirmed.select(*keys, "event_type", "period", "event_id", "date"), outcomes, benchmarks, horizons, keys), cell)
+    attached = attach_outcomes(confirmed.select(*keys, "event_type", "period", "event_id", "date"), outcomes, benchmarks, horizons, keys)
+    stats = summarize(attached, cell).join(bootstrap_intervals(attached, cell, "ret", bootstrap_samples, seed), cell, "left")
     counts = confirmed.groupBy(*keys, "period", "event_type").agg(F.count("*").alias("event_count"))
     pairs = [(n, s) for n, *_ in periods for s in CONFIRMED_SIGNALS]
-    plain = baselines.filter("baseline_type = 'UNCONDITIONAL'").select(*keys, "benchmark", "horizon", F.col("Mean").alias("BaselineMean"))
+    plain = baselines.filter("baseline_type = 'UNCONDITIONAL'").select(*keys, "benchmark", "horizon", F.col("Mean").alias("BaselineMean"), F.col("Median").alias("BaselineMedian"))
     table = _grid(baselines.select(*keys).distinct(), pairs, benchmarks, horizons, ("period", "event_type")).join(stats, cell, "left").join(counts, [*keys, "period", "event_type"], "left").join(plain, [*keys, "benchmark", "horizon"], "left")
     return table.na.fill(0, ["N", "event_count"]).withColumns(
         {"ExcessReturn": F.col("Mean") - F.col("BaselineMean"), "assessment": F.when(F.col("N") < 10, "DESCRIPTIVE_ONLY_LOW_SAMPLE").otherwise("DESCRIPTIVE_SPLIT")}

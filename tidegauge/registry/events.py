@@ -173,15 +173,23 @@ def baselines(spark, d):
 register("ev10_baseline_table", baselines, "market benchmark horizon:n baseline_type N:n Mean:f Median:f PositiveRate:f MAEMean:f MAEMedian:f MFEMean:f MFEMedian:f", "baselines")
 _CELL = ["market", "event_type", "benchmark", "horizon"]
 _U = f"((42 * 1000003 + CAST(s AS bigint) * 69621 + i * 48271 + 1) % {st.PRIME})"
-cte("boot_cells", "SELECT market, event_type, benchmark, horizon, list(ret ORDER BY ret) AS vals, count(*) AS n FROM attached WHERE ret IS NOT NULL GROUP BY ALL")
-cte("boot_draws", f"SELECT market, event_type, benchmark, horizon, list_transform(range(n), lambda i: vals[1 + ({_U} * {_U} % {st.PRIME} * 1103515245 + {_U} * 12345 + s) % {st.PRIME} % n]) AS x FROM boot_cells, range(10000) t(s)")
-cte("boot_bounds", """
-SELECT market, event_type, benchmark, horizon, quantile_cont(m, 0.025) AS MeanCI95Low, quantile_cont(m, 0.975) AS MeanCI95High, quantile_cont(d, 0.025) AS MedianCI95Low, quantile_cont(d, 0.975) AS MedianCI95High
-FROM (SELECT market, event_type, benchmark, horizon, list_avg(x) AS m, list_aggregate(x, 'median') AS d FROM boot_draws) GROUP BY ALL
+_CI = "MeanCI95Low:f MeanCI95High:f MedianCI95Low:f MedianCI95High:f"
+
+
+def _boot_sql(name: str, source: str, cell: str) -> str:
+    """Percentile intervals of 10,000 samples of every cell of ``source``."""
+    cte(f"{name}_cells", f"SELECT {cell}, list(ret ORDER BY ret) AS vals, count(*) AS n FROM {source} WHERE ret IS NOT NULL GROUP BY ALL")
+    cte(f"{name}_draws", f"SELECT {cell}, list_transform(range(n), lambda i: vals[1 + ({_U} * {_U} % {st.PRIME} * 1103515245 + {_U} * 12345 + s) % {st.PRIME} % n]) AS x FROM {name}_cells, range(10000) t(s)")
+    return cte(name, f"""
+SELECT {cell}, quantile_cont(m, 0.025) AS MeanCI95Low, quantile_cont(m, 0.975) AS MeanCI95High, quantile_cont(d, 0.025) AS MedianCI95Low, quantile_cont(d, 0.975) AS MedianCI95High
+FROM (SELECT {cell}, list_avg(x) AS m, list_aggregate(x, 'median') AS d FROM {name}_draws) GROUP BY ALL
 """)
+
+
+_boot_sql("boot_bounds", "attached", "market, event_type, benchmark, horizon")
 register(
     "ev11_bootstrap_intervals", lambda s, d: st.bootstrap_intervals(hand_off(attached(s, d).select(*_CELL, "ret")), _CELL),
-    "market event_type benchmark horizon:n MeanCI95Low:f MeanCI95High:f MedianCI95Low:f MedianCI95High:f", "boot_bounds",
+    f"market event_type benchmark horizon:n {_CI}", "boot_bounds",
 )
 _MORE = _STATS + ", stddev_samp(ret) AS StdDev, quantile_cont(ret, 0.25) AS P25, quantile_cont(ret, 0.75) AS P75, avg(ptdd) AS PeakToTroughDDMean, quantile_cont(ptdd, 0.5) AS PeakToTroughDDMedian"
 cte("summaries", f"SELECT market, event_type, benchmark, horizon, {_MORE} FROM attached GROUP BY ALL")
@@ -193,16 +201,20 @@ cte("set_stats", f"SELECT market, event_type, event_set, benchmark, horizon, {_M
 
 
 def _study_sql(name: str, pairs) -> None:
+    chosen = " OR ".join(f"(event_type = '{a}' AND event_set = '{b}')" for a, b in pairs)
+    _boot_sql(f"{name}_boot", f"(SELECT * FROM attached_sets WHERE {chosen})", "market, event_type, event_set, benchmark, horizon")
     values = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
     cte(name, f"""
 SELECT *, CASE WHEN N < 10 THEN 'VERY_LOW_SAMPLE' WHEN N < 20 THEN 'LOW_SAMPLE' ELSE 'MODERATE_SAMPLE' END AS SampleWarning,
-  CASE WHEN N < 10 OR ExcessReturn IS NULL THEN 'INCONCLUSIVE' WHEN NOT CASE WHEN cold THEN ExcessReturn > 0 ELSE ExcessReturn < 0 END THEN 'NEGATIVE' WHEN (Mean >= 0) = (Median >= 0) THEN 'WEAK' ELSE 'INCONCLUSIVE' END AS Evidence
+  CASE WHEN N < 10 OR ExcessReturn IS NULL THEN 'INCONCLUSIVE' WHEN NOT CASE WHEN cold THEN ExcessReturn > 0 ELSE ExcessReturn < 0 END THEN 'NEGATIVE' WHEN (Mean >= 0) = (Median >= 0) AND (ExcessCI95Low > 0 OR ExcessCI95High < 0) THEN CASE WHEN N >= 20 THEN 'STRONG' ELSE 'MODERATE' END WHEN (Mean >= 0) = (Median >= 0) THEN 'WEAK' ELSE 'INCONCLUSIVE' END AS Evidence
 FROM (SELECT m.market, g.event_type, g.event_set, b.benchmark, h.horizon, coalesce(s.N, 0) AS N, s.* EXCLUDE (market, event_type, event_set, benchmark, horizon, N), coalesce(c.RawN, 0) AS RawN, coalesce(c.DeclusteredN, 0) AS DeclusteredN,
     coalesce(c.EpisodeN, 0) AS EpisodeN, CASE g.event_set WHEN 'raw' THEN coalesce(c.RawN, 0) WHEN 'declustered' THEN coalesce(c.DeclusteredN, 0) ELSE coalesce(c.EpisodeN, 0) END AS EventCount,
     u.Mean AS BaselineMean, u.Median AS BaselineMedian, r.N AS RegimeBaselineN, r.Mean AS RegimeBaselineMean, r.Median AS RegimeBaselineMedian, r.FutureDrawdownMean AS RegimeBaselineFutureDrawdownMean,
-    s.Mean - u.Mean AS ExcessReturn, starts_with(g.event_type, 'ICE') OR starts_with(g.event_type, 'PANIC') AS cold
+    s.Mean - u.Mean AS ExcessReturn, k.MeanCI95Low, k.MeanCI95High, k.MedianCI95Low, k.MedianCI95High, k.MeanCI95Low - u.Mean AS ExcessCI95Low, k.MeanCI95High - u.Mean AS ExcessCI95High,
+    starts_with(g.event_type, 'ICE') OR starts_with(g.event_type, 'PANIC') AS cold
   FROM (SELECT DISTINCT market FROM baselines) m CROSS JOIN (VALUES {values}) g(event_type, event_set) CROSS JOIN (SELECT unnest({list(B)}) AS benchmark) b CROSS JOIN horizons h
   LEFT JOIN set_stats s ON s.market = m.market AND s.event_type = g.event_type AND s.event_set = g.event_set AND s.benchmark = b.benchmark AND s.horizon = h.horizon
+  LEFT JOIN {name}_boot k ON k.market = m.market AND k.event_type = g.event_type AND k.event_set = g.event_set AND k.benchmark = b.benchmark AND k.horizon = h.horizon
   LEFT JOIN set_counts c ON c.market = m.market AND c.event_type = g.event_type
   LEFT JOIN baselines u ON u.market = m.market AND u.benchmark = b.benchmark AND u.horizon = h.horizon AND u.baseline_type = 'UNCONDITIONAL'
   LEFT JOIN baselines r ON r.market = m.market AND r.benchmark = b.benchmark AND r.horizon = h.horizon AND r.baseline_type = CASE WHEN starts_with(g.event_type, 'ICE') OR starts_with(g.event_type, 'PANIC') THEN 'COLD_REGIME' ELSE 'HOT_REGIME' END)
@@ -227,8 +239,8 @@ class Stage:
     def baselines(self) -> DataFrame:
         return st.baseline_table(self.states, self.outcomes)
 
-    def study(self, pairs, baselines=None, sets=None) -> DataFrame:
-        return st.study_table(ev.event_sets(self.catalog) if sets is None else sets, self.outcomes, self.baselines() if baselines is None else baselines, pairs, B, H)
+    def study(self, pairs, baselines=None, sets=None, samples: int = 10_000) -> DataFrame:
+        return st.study_table(ev.event_sets(self.catalog) if sets is None else sets, self.outcomes, self.baselines() if baselines is None else baselines, pairs, B, H, bootstrap_samples=samples)
 
 
 def stage(spark, d) -> Stage:
@@ -240,7 +252,7 @@ def study(spark, d, pairs):
     return s.study(pairs, hand_off(s.baselines()), hand_off(ev.event_sets(s.catalog)))
 
 
-_STUDY = "market event_type event_set benchmark horizon:n RawN:n DeclusteredN:n EpisodeN:n EventCount:n RegimeBaselineN:n RegimeBaselineMean:f BaselineMean:f BaselineMedian:f ExcessReturn:f " + _SUM
+_STUDY = "market event_type event_set benchmark horizon:n RawN:n DeclusteredN:n EpisodeN:n EventCount:n RegimeBaselineN:n RegimeBaselineMean:f BaselineMean:f BaselineMedian:f ExcessReturn:f ExcessCI95Low:f ExcessCI95High:f " + _CI + " " + _SUM
 register("ev13_evidence_label", lambda s, d: study(s, d, st.PRIMARY), "market event_type event_set benchmark horizon:n N:n SampleWarning Evidence", "primary_study")
 register("ev14_study_table", lambda s, d: study(s, d, st.PRIMARY), _STUDY, "primary_study")
 register("ev15_comparator_table", lambda s, d: study(s, d, st.COMPARATORS), _STUDY, "comparator_study")
@@ -252,13 +264,15 @@ FROM (SELECT DISTINCT market FROM sets) m CROSS JOIN (VALUES {_values}) g(event_
 register("ev16_decluster_summary", lambda s, d: st.decluster_summary(hand_off(ev.event_sets(catalog(s, d)))), "market event_type event_set event_count:n first_event_date last_event_date episode_count:n", "decluster_summary")
 _period = "CASE " + " ".join(f"WHEN date BETWEEN DATE '{a}' AND DATE '{b}' THEN '{n}'" for n, a, b in PERIODS) + " END"
 cte("split_stats", f"SELECT market, period, event_type, benchmark, horizon, {_MORE} FROM (SELECT *, {_period} AS period FROM attached WHERE event_type IN {_CONF}) WHERE period IS NOT NULL GROUP BY ALL")
+_boot_sql("split_boot", f"(SELECT *, {_period} AS period FROM attached WHERE event_type IN {_CONF})", "market, period, event_type, benchmark, horizon")
 cte("split_counts", f"SELECT market, {_period} AS period, event_type, count(*) AS event_count FROM catalog WHERE event_type IN {_CONF} GROUP BY ALL")
 _pvalues = ", ".join(f"('{n}', '{s}')" for n, *_ in PERIODS for s in _CONF)
 cte("time_split", f"""
-SELECT m.market, g.period, g.event_type, b.benchmark, h.horizon, coalesce(c.event_count, 0) AS event_count, coalesce(s.N, 0) AS N, s.Mean, s.Median, s.PositiveRate, s.Mean - u.Mean AS ExcessReturn,
+SELECT m.market, g.period, g.event_type, b.benchmark, h.horizon, coalesce(c.event_count, 0) AS event_count, coalesce(s.N, 0) AS N, s.Mean, s.Median, s.PositiveRate, s.Mean - u.Mean AS ExcessReturn, u.Median AS BaselineMedian, k.MeanCI95Low, k.MeanCI95High, k.MedianCI95Low, k.MedianCI95High,
   CASE WHEN coalesce(s.N, 0) < 10 THEN 'DESCRIPTIVE_ONLY_LOW_SAMPLE' ELSE 'DESCRIPTIVE_SPLIT' END AS assessment
 FROM (SELECT DISTINCT market FROM baselines) m CROSS JOIN (VALUES {_pvalues}) g(period, event_type) CROSS JOIN (SELECT unnest({list(B)}) AS benchmark) b CROSS JOIN horizons h
 LEFT JOIN split_stats s ON s.market = m.market AND s.period = g.period AND s.event_type = g.event_type AND s.benchmark = b.benchmark AND s.horizon = h.horizon
+LEFT JOIN split_boot k ON k.market = m.market AND k.period = g.period AND k.event_type = g.event_type AND k.benchmark = b.benchmark AND k.horizon = h.horizon
 LEFT JOIN split_counts c ON c.market = m.market AND c.period = g.period AND c.event_type = g.event_type
 LEFT JOIN baselines u ON u.market = m.market AND u.benchmark = b.benchmark AND u.horizon = h.horizon AND u.baseline_type = 'UNCONDITIONAL'
 """)
@@ -267,7 +281,7 @@ def time_split(spark, d):
     return st.time_split(hand_off(s.catalog), s.outcomes, hand_off(s.baselines()), B, PERIODS, H)
 
 
-register("ev17_time_split", time_split, "market period event_type benchmark horizon:n event_count:n N:n Mean:f Median:f PositiveRate:f ExcessReturn:f assessment", "time_split")
+register("ev17_time_split", time_split, "market period event_type benchmark horizon:n event_count:n N:n Mean:f Median:f PositiveRate:f ExcessReturn:f BaselineMedian:f " + _CI + " assessment", "time_split")
 
 
 def robust_catalog(spark, d):
@@ -329,8 +343,8 @@ _readiness_sql("readiness_all", "coalesce((SELECT bool_or(k = 1 AND n = 3 AND s
 def readiness(spark, d, every=False):
     s = stage(spark, d)
     base, sets = hand_off(s.baselines()), hand_off(ev.event_sets(s.catalog))
-    primary = hand_off(s.study(st.PRIMARY, base, sets)) if every else s.study(st.PRIMARY, base, sets)
-    return st.readiness(primary, s.study(st.COMPARATORS, base, sets), robustness(spark, d, s, base), persistence_from_all_sets=every)
+    primary = s.study(st.PRIMARY, base, sets, 0)  # the gate reads no interval
+    return st.readiness(hand_off(primary) if every else primary, s.study(st.COMPARATORS, base, sets, 0), robustness(spark, d, s, base), persistence_from_all_sets=every)
 
 
 _READY = "market event_type sample_ok effect_ok direction_ok persistence_ok robustness_ok comparator_ok ready reasons"
