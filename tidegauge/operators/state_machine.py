@@ -13,6 +13,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import Variant
@@ -233,13 +234,19 @@ def apply_state_machine(indicators: DataFrame, variants: Sequence[Variant] | Non
 
 def finish_states(states: DataFrame) -> DataFrame:
     """Append the watch outcome to the row's warnings."""
-    from pyspark.sql import functions as F
-
     base = F.coalesce(F.col("data_quality_warnings"), F.lit("")) if "data_quality_warnings" in states.columns else F.lit("")
     outcome = F.when(F.col("watch_timeout"), F.lit("WATCH_TIMEOUT")).when(F.col("watch_invalidated"), F.lit("WATCH_INVALIDATED"))
     return states.withColumn("warnings", F.concat_ws(";", F.when(base != "", base), outcome))
 
 
 def build_states(daily: DataFrame, variants: Sequence[Variant] | None = None, keys: Sequence[str] = ("market",)) -> DataFrame:
-    """Daily temperature table to state table."""
-    return finish_states(apply_state_machine(regime_indicators(daily, variants, keys), variants, keys))
+    """Daily temperature table to state table. Equal parameter sets run once; their rows are then given to every name."""
+    names: dict[tuple, list[Variant]] = {}
+    for variant in variants or [Variant()]:
+        names.setdefault((variant.machine, variant.anchors), []).append(variant)
+    distinct = [same[0] for same in names.values()]
+    states = finish_states(apply_state_machine(regime_indicators(daily, distinct, keys), distinct, keys))
+    if all(len(same) == 1 for same in names.values()):
+        return states
+    shared = F.coalesce(*[F.when(F.col("variant_id") == same[0].variant_id, F.array(*[F.lit(v.variant_id) for v in same])) for same in names.values()])
+    return states.withColumn("_named", F.explode(shared)).withColumn("variant_id", F.col("_named")).drop("_named")
