@@ -9,12 +9,10 @@ so work and memory per task stay the same at any input size; a shard wastes at m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,17 +72,10 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 def cut_pieces(encoded: DataFrame, most: int) -> DataFrame:
     """(doc_id, ids) to pieces (doc_id, piece, start, length, piece_ids) of ``most`` tokens; only the last may be shorter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()
-            cut = [(d, k, k * most, x[4 * k * most : 4 * (k + 1) * most]) for d, x in zip(ids, rows, strict=True) for k in range(-(-len(x) // (4 * most)))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.int32()), pa.array([c[2] for c in cut], pa.int64()), pa.array([len(c[3]) // 4 for c in cut], pa.int64()), pa.array([c[3] for c in cut], pa.binary())],
-                ["doc_id", "piece", "start", "length", "piece_ids"],
-            )
-
-    return encoded.mapInArrow(run, "doc_id long, piece int, start long, length long, piece_ids binary")
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("ids") - 1) / (4 * most)).cast("int"))).alias("piece")
+    own = F.expr(f"substring(ids, piece * {4 * most} + 1, {4 * most})").alias("piece_ids")
+    cut = encoded.select("doc_id", "ids", pieces).select("doc_id", "piece", own)
+    return cut.select("doc_id", "piece", (F.col("piece").cast("long") * most).alias("start"), F.floor(F.octet_length("piece_ids") / 4).alias("length"), "piece_ids")
 
 
 def place(pieces: DataFrame, capacity: Capacity = Capacity(), shard_pieces: int = 16_384) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import Recent, slices, without_gc
 
 WORD_FILE = "word_bpe_49k.json"
-CACHED_CHUNKS, CACHED_PIECES = 300_000, 150_000
+CACHED_CHUNKS, CACHED_PIECES = 250_000, 100_000
 
 # The tokenizer's own split pattern, for text of the characters in PLAIN.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
