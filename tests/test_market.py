@@ -53,7 +53,7 @@ def test_dedupe_keeps_the_last_of_many_copies(spark):
 def test_exact_median_without_gathering_groups(spark):
     rng = np.random.default_rng(0)
     rows = [("hot" if i % 3 == 0 else f"g{i % 7}", float(v)) for i, v in enumerate(rng.integers(0, 40, 601))]
-    got = {r.k: r.m for r in fx.exact_median(frame(spark, "k string, v double", rows), ["k"], "v", "m").collect()}
+    got = {r.k: r.m for r in fx.value_summary(frame(spark, "k string, v double", rows), ["k"], "v", "avg", "n", "m").collect()}
     for k in {r[0] for r in rows}:
         assert got[k] == np.median([v for g, v in rows if g == k])
 

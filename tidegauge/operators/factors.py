@@ -132,20 +132,21 @@ def limit_day_counts(limits: DataFrame, keys: Sequence[str] = ("market",)) -> Da
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
-    """Exact median per group without gathering a group: equal values merge first, a running count over
-    the sorted distinct values streams, and only the one or two middle values are kept."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_total"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(w)).join(totals, list(keys))
+def value_summary(df: DataFrame, keys: Sequence[str], value: str, mean: str, count: str, middle: str) -> DataFrame:
+    """Mean, number and exact median per group from one aggregation, without gathering a group: equal values merge
+    first, a running count over the sorted distinct values streams, and only the one or two middle values are kept."""
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(whole)})
     low, high = F.floor((F.col("_total") - 1) / 2) + 1, F.floor(F.col("_total") / 2) + 1
     start = F.col("_upto") - F.col("_n")
 
     def at(position: Column) -> Column:
         return F.max(F.when((start < position) & (position <= F.col("_upto")), F.col(value)))
 
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2.0).alias(alias))
+    total = F.sum("_n")
+    return ranked.groupBy(*keys).agg((F.sum(F.col(value) * F.col("_n")) / F.nullif(total, F.lit(0))).alias(mean), total.alias(count), ((at(low) + at(high)) / 2.0).alias(middle))
 
 
 def limitup_next_returns(prepared: DataFrame, limits: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:
@@ -167,12 +168,7 @@ def limitup_next_returns(prepared: DataFrame, limits: DataFrame, keys: Sequence[
 
 
 def limitup_next_summary(returns: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:
-    by = [*keys, "trade_date"]
-    mean = returns.groupBy(*by).agg(
-        F.avg("next_return").alias("yesterday_limitup_mean_return"),
-        F.count("next_return").alias("yesterday_limitup_sample_count"),
-    )
-    return mean.join(exact_median(returns, by, "next_return", "yesterday_limitup_median_return"), by, "left")
+    return value_summary(returns, [*keys, "trade_date"], "next_return", "yesterday_limitup_mean_return", "yesterday_limitup_sample_count", "yesterday_limitup_median_return")
 
 
 def add_profit_effect(
