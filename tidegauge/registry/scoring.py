@@ -53,7 +53,7 @@ PRODUCTION = Quality(**{**Q.__dict__, "production": True})
 
 
 def intraday(spark, d):
-    """History up to the day before, recomputed factors only for the recent 16 weeks."""
+    """History up to the day before, recomputed factors only for the recent 30 weeks."""
     bars = panel(spark, d)
     day = F.lit(LIVE_DAY).cast("date")
     history = raw_factors(bars, td.limits(bars), W, Q, dedupe=False)
@@ -63,7 +63,7 @@ def intraday(spark, d):
 
 # The oracle scores the same day from the full table: a live day must agree with the daily run on every
 # factor whose inputs fit in the recent window.
-register("sc11_intraday_temperature", intraday, "market trade_date adv_ratio:f above_ma60_ratio:f nhnl_ratio:f turnover_zscore:f breadth_score:f liquidity_score:f stretch_score:f", f"temperature WHERE trade_date = DATE '{LIVE_DAY}'")
+register("sc11_intraday_temperature", intraday, "market trade_date adv_ratio:f above_ma60_ratio:f nhnl_ratio:f turnover_zscore:f breadth_score:f profit_effect_score:f liquidity_score:f stretch_score:f raw_market_temperature:f market_temperature_quality", f"temperature WHERE trade_date = DATE '{LIVE_DAY}'")
 cte("latest_in_period", "SELECT * FROM temperature WHERE trade_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' AND market_temperature_quality <> 'INVALID' QUALIFY row_number() OVER (PARTITION BY market ORDER BY trade_date DESC) = 1")
 register("sc12_period_latest", lambda s, d: sc.latest(sc.in_period(temperature(s, d), "1998-01-01", "2000-12-31"), KEYS, F.col("market_temperature_quality") != "INVALID"), "market trade_date raw_market_temperature:f", "latest_in_period")
 

@@ -47,6 +47,8 @@ register("sv3_daily_card", daily_cards,
 cte("trend_1y", "SELECT * FROM advisory a WHERE date >= (SELECT max(date) FROM advisory b WHERE b.market = a.market) - 366")
 _POINT = "market date market_temperature:f smoothed_temperature:f advisory_signal"
 register("sv4_trend_range", lambda s, d: sv.trend(advisory(s, d), "1Y"), _POINT, "trend_1y")
+for _range, _days in (("3M", 92), ("6M", 183), ("All", 100_000)):
+    register(f"sv4_trend_{_range.lower()}", lambda s, d, r=_range: sv.trend(advisory(s, d), r), _POINT, f"(SELECT * FROM advisory a WHERE date >= (SELECT max(date) FROM advisory b WHERE b.market = a.market) - {_days})")
 register("sv4_last_rows", lambda s, d: sv.last_rows(sv.trend(advisory(s, d), "1Y")), _POINT, "(SELECT * FROM trend_1y QUALIFY row_number() OVER (PARTITION BY market ORDER BY date DESC) <= 40)")
 cte("episode_cards", " UNION ALL ".join(f"""
 SELECT o.market, '{t}' AS episode_type, {k}_episode_id AS episode_id, min(trade_date) AS start_date, {'arg_min' if k == 'panic' else 'arg_max'}(trade_date, smoothed_temperature ORDER BY trade_date) AS extreme_date, {'min' if k == 'panic' else 'max'}(smoothed_temperature) AS extreme_value,

@@ -108,6 +108,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def load_first_existing(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Newest contract table that exists."""
     for path in paths:

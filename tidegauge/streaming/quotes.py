@@ -49,9 +49,10 @@ def latest_quotes(quotes: DataFrame, keys: Sequence[str] = ("market",), order: s
 def run_latest_quotes(spark: SparkSession, quotes: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("market",), order: str | Column = "quote_time", versions: str | None = None) -> StreamingQuery:
     """Keep a table of the newest quote per security and day, updated per micro-batch.
 
-    Each batch writes only the days it touches; the touched rows are staged before they are replaced.
+    Each batch writes only the days it touches; the touched rows are staged before they are replaced, and the staged
+    copy goes when they are.
     """
-    from ..sources.tables import path_exists
+    from ..sources.tables import drop_path, path_exists
 
     def merge(batch: DataFrame, _: int) -> None:
         staged = scratch_path(spark, "quotes")
@@ -62,6 +63,7 @@ def run_latest_quotes(spark: SparkSession, quotes: DataFrame, target: str, check
             fresh = upsert(touched, fresh, [*keys, "ts_code", "trade_date"], "quote_time")
         save_dataset(fresh, staged)
         save_dataset(spark.read.parquet(staged), target, ["trade_date"], bounded=True)
+        drop_path(spark, staged)
 
     return latest_quotes(quotes, keys, order).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
