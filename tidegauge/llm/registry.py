@@ -92,4 +92,12 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_hamming_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0E0 ELSE -1.0E0 END) AS s FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS integer) AS rank, c.vec_id, CAST((len(q.s) - list_dot_product(q.s, c.s)) / 2 AS bigint) AS distance
+FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.s) = len(c.s) WHERE q.vec_id % 20 = 0
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY (len(q.s) - list_dot_product(q.s, c.s)) / 2, c.vec_id) QUALIFY row_number() OVER w <= 10
+""",
+}
+"""The others need a tokenizer, a classifier or XXH64, or are approximate; tests hold them against brute force."""
