@@ -12,7 +12,7 @@ from ..sources import vendor as vd
 from .base import cte, register
 
 SUPPLIER = "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"
-register("in1_read_panel", lambda s, d: tb.read_panel(s, f"{d}/supplier.parquet", SUPPLIER).filter("s_acctbal > 0"), "s_suppkey:n s_name s_acctbal:f", "supplier WHERE s_acctbal > 0")
+register("in1_read_panel", lambda s, d: tb.read_panel(s, f"{d}/supplier.parquet", SUPPLIER), "s_suppkey:n s_name s_acctbal:f", "supplier")
 
 
 def saved(spark, d):
@@ -91,15 +91,15 @@ register("in9_drop_suspended", lambda s, d: vd.drop_suspended(with_halts(s, d)),
 
 
 def master(spark, d):
-    """Security master with one row per supplier whose balance is positive."""
+    """Security master with one row per supplier."""
     venue = td.table(spark, d, "supplier").join(td.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(td.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return venue.filter("s_acctbal > 0").select(
+    return venue.select(
         F.col("r_name").alias("market"), F.col("s_suppkey").cast("string").alias("ts_code"), F.when(F.col("s_suppkey") % 9 == 0, F.concat(F.lit("*st"), F.col("s_suppkey").cast("string"))).otherwise(F.concat(F.lit("N"), F.col("s_suppkey").cast("string"))).alias("name"),
         F.col("n_name").alias("exchange"), F.lit("1995-01-01").cast("date").alias("list_date"), F.lit(None).cast("date").alias("delist_date"),
     )
 
 
-cte("master", "SELECT r.r_name AS market, CAST(s_suppkey AS varchar) AS ts_code, s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN '*st' || s_suppkey ELSE 'N' || s_suppkey END AS name, n.n_name AS exchange FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE s_acctbal > 0")
+cte("master", "SELECT r.r_name AS market, CAST(s_suppkey AS varchar) AS ts_code, s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN '*st' || s_suppkey ELSE 'N' || s_suppkey END AS name, n.n_name AS exchange FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
 register("in10_enrich_with_universe", lambda s, d: vd.enrich_with_universe(td.bars(s, d), master(s, d)), "market ts_code trade_date name exchange universe_count:n is_st:n",
          "(SELECT b.market, b.ts_code, b.trade_date, m.name, m.exchange, CASE WHEN b.sk % 9 = 0 THEN 1 ELSE 0 END AS is_st, c.n AS universe_count FROM bars b JOIN master m USING (market, ts_code) JOIN (SELECT market, count(*) AS n FROM master GROUP BY market) c ON c.market = b.market)")
 
@@ -305,8 +305,8 @@ register("in27_trading_calendar", lambda s, d: tb.trading_calendar(exchange_cale
 register("in27_business_days", lambda s, d: tb.business_days(td.bars(s, d).groupBy("market").agg(F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"))), "market trade_date",
          "(SELECT * FROM (SELECT market, CAST(unnest(generate_series(min(trade_date), max(trade_date), INTERVAL 1 DAY)) AS date) AS trade_date FROM bars GROUP BY market) WHERE isodow(trade_date) <= 5)")
 MARGIN = "market string, trade_date date, margin_balance double, margin_buy double, short_balance double"
-register("in28_margin_observations", lambda s, d: tb.load_observations(td.index_bars(s, d).filter("benchmark = 'IDX0'").select("market", F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), F.when(F.col("close") > 35, F.lit(float("nan"))).otherwise(F.col("close")).alias("margin_balance")), MARGIN),
-         "market trade_date margin_balance:f margin_buy:f short_balance:f", "(SELECT market, trade_date, CASE WHEN close <= 35 THEN close END AS margin_balance, CAST(NULL AS double) AS margin_buy, CAST(NULL AS double) AS short_balance FROM index_bars WHERE benchmark = 'IDX0')")
+register("in28_margin_observations", lambda s, d: tb.load_observations(td.index_bars(s, d).select("market", F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), F.when(F.col("close") > 35, F.lit(float("nan"))).otherwise(F.col("close")).alias("margin_balance")), MARGIN),
+         "market trade_date margin_balance:f margin_buy:f short_balance:f", "(SELECT market, trade_date, CASE WHEN close <= 35 THEN close END AS margin_balance, CAST(NULL AS double) AS margin_buy, CAST(NULL AS double) AS short_balance FROM index_bars)")
 
 
 def first_existing(spark, d):
