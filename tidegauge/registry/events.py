@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..operators import study as st
+from ..operators.quality import changed_cells
 from ..operators.state_machine import build_states
 from ..params import ROBUSTNESS_GRID, grid
 from ..sources import testdata as td
 from ..sources.tables import hand_off
 from .base import cte, register
-from .regime import state_table, states
+from .regime import SPLIT, state_table, states
 from .regime_sql import regime_ctes
 
 B, H = td.BENCHMARKS, td.HORIZONS
@@ -365,3 +366,16 @@ def self_checks(spark, d):
 
 
 register("dq14_event_self_checks", self_checks, "market entry_after_signal_close no_price_interpolation invalid_date_state_reset", "self_checks")
+
+_EVENT_CELLS = ["original_signal", "direction", "episode_id", "raw_temperature", "state"]
+
+
+def event_stability(spark, d):
+    """Events of a run that ends at SPLIT against those of the whole run: none may be missing or differ."""
+    daily = hand_off(td.regime_daily(spark, d))
+    prefix = build_states(daily.filter(F.col("trade_date") < F.lit(SPLIT).cast("date")))
+    return changed_cells(ev.event_catalog(build_states(daily)), ev.event_catalog(prefix), ["market", "event_type", "date"], _EVENT_CELLS)
+
+
+register("dq13_event_no_lookahead", event_stability, "prefix_rows:n missing_rows:n " + " ".join(f"changed_{c}:n" for c in _EVENT_CELLS),
+         "(SELECT count(*) AS prefix_rows, 0 AS missing_rows, " + ", ".join(f"0 AS changed_{c}" for c in _EVENT_CELLS) + f" FROM catalog WHERE date < DATE '{SPLIT}')")
