@@ -371,6 +371,22 @@ def test_network_tells_keys_from_words(spark):
     assert hit[:300].mean() > 0.9 and hit[300:].mean() < 0.05
 
 
+def test_every_character_of_a_long_candidate_is_scored():
+    table = np.zeros((5, secret_scan.INPUTS, 1))
+    for k, c in enumerate("KQZXJ"):
+        table[k, secret_scan.CODES[ord(c)] + secret_scan.CLASSES, 0] = 1
+    net = secret_scan.Network(table, np.array([-4.5]), np.array([40.0]), -10.0)
+    for n in (12, 39, 40, 41, 64, 65, 88, 89, 200, 5000):
+        for at in {0, 1, n // 3, n // 2, n - 6, n - 5}:
+            run = "a" * at + "KQZXJ" + "b" * (n - at - 5)
+            seen = secret_scan.window(f"see {run} now", 4, 4 + n)
+            clean = secret_scan.window(f"see {'a' * n} now", 4, 4 + n)
+            high, low, again = net.score_candidates([seen, clean, seen])
+            assert high == again > 0.5 > low, (n, at)
+    windows = secret_scan.slid(secret_scan.window("x" * 9000, 0, 9000))
+    assert len(windows) > 300 and windows.shape[1] == secret_scan.WINDOW
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, docs
