@@ -387,6 +387,19 @@ def test_every_character_of_a_long_candidate_is_scored():
     assert len(windows) > 300 and windows.shape[1] == secret_scan.WINDOW
 
 
+def test_keys_of_a_form_the_rules_miss_are_found(spark):
+    r = random.Random(12)
+    words = "river stone market winter garden letter yellow bridge people morning paper mountain silver window".split()
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    prose = lambda: " ".join(r.choice(words) for _ in range(30))
+    rows = [(i, f"{prose()} password = {key()} {prose()}") for i in range(150)] + [(i, f"{prose()} {key()} {prose()}") for i in range(1000, 1900)]
+    rows += [(i, f"{prose()} {r.choice(words)}/{r.choice(words)}-{r.choice(words)}_{r.randint(1, 999)} {prose()}") for i in range(3000, 3200)]
+    found = {x.doc_id: [f.kind for f in x.findings] for x in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("assign" in found[i] for i in range(150))
+    assert sum(found[i] == ["model"] for i in range(1000, 1900)) >= 0.9 * 900
+    assert sum(found[i] == ["model"] for i in range(3000, 3200)) <= 0.1 * 200
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, docs
