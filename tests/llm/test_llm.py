@@ -267,6 +267,27 @@ def test_neighbours_reach_recall_and_leave_unusable_vectors_out(spark):
     assert ann.approximate_neighbours(frame.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def nearest_by_brute_force(rows, queries, k):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    np.fill_diagonal(cos, -9)
+    return {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(np.isin(ids, queries)) for j in np.argsort(-cos[i], kind="stable")[:k]}
+
+
+def test_vectors_of_every_length_and_magnitude_are_compared(spark):
+    rng = np.random.default_rng(21)
+    rows = {dims: [(first + i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, dims)))] for dims, first, n in ((8, 0, 400), (5, 1000, 300), (3, 2000, 40))}
+    queries = [i for first in (0, 1000, 2000) for i in range(first, first + 40, 10)]
+    scaled = [(i, [c * {0: 1.0, 1: 1e200, 2: 1e-200}[i % 3] for c in v]) for own in rows.values() for i, v in own]
+    out = ann.approximate_neighbours(spark.createDataFrame(scaled, "vec_id long, embedding array<double>"), F.col("id").isin(queries), k=3).collect()
+    got = {(r.query_id, r.id) for r in out}
+    assert len(out) == 3 * len(queries)
+    for own in rows.values():
+        want = nearest_by_brute_force(own, queries, 3)
+        assert len(want & got) >= 0.8 * len(want)
+    assert nearest_by_brute_force(rows[3], queries, 3) <= got
+
+
 def test_perturbations_come_by_cost_and_do_not_repeat():
     place = np.array([3.2, -1.9, 0.55, 7.01])
     rows = ann.perturbations(place, 500)

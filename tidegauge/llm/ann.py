@@ -2,8 +2,9 @@
 
 Unit vectors fall into buckets by floor((a v + b) / w) of several projections, in several tables. A query visits its own
 bucket and then perturbed ones in the order of estimated success (sum of squared distances to the walls crossed).
-Candidates of all tables are ranked by exact cosine inside the buckets and merged. How many probes are needed is read
-off a bounded sample of queries whose true neighbours are found by brute force.
+Candidates of all tables are ranked by exact cosine inside the buckets and merged. Vectors of each length have
+projections and buckets of their own. How many probes are needed is read off a bounded sample of queries whose true
+neighbours are found by brute force.
 """
 
 from __future__ import annotations
@@ -23,19 +24,19 @@ from .vectors import distinct_keys, in_blocks, nearest_ids
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, key): vectors as little-endian doubles. Rows with a null id, a null, zero or empty vector, or a null or
-    non-finite component are left out."""
+    """(id, key): vectors as little-endian doubles, halved or doubled until the largest component is between 0.5 and 1,
+    so that no norm overflows or vanishes. Rows with a null id, a null, zero or empty vector, or a null or non-finite
+    component are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if i is not None and v and None not in v:
-                    x = np.array(v, float) + 0.0
-                    with np.errstate(over="ignore"):
-                        norm = x @ x
-                    if 0 < norm < np.inf:
-                        out.append((i, x.astype("<f8").tobytes()))
+                    x = np.array(v, float)
+                    largest = np.abs(x).max()
+                    if 0 < largest < np.inf:
+                        out.append((i, (np.ldexp(x, -np.frexp(largest)[1]) + 0.0).astype("<f8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["id", "key"])
 
     return vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v")).mapInArrow(run, "id long, key binary")
@@ -75,6 +76,8 @@ def bucket_keys(slots: np.ndarray) -> np.ndarray:
 def perturbations(place: np.ndarray, most: int) -> list[np.ndarray]:
     """Up to ``most`` slot rows of one query in one table, by falling estimated success; the own bucket is first."""
     own = np.floor(place)
+    if not len(own):
+        return [own]
     inside = place - own
     walls = sorted([(x * x, k, -1) for k, x in enumerate(inside)] + [((1 - x) ** 2, k, 1) for k, x in enumerate(inside)])
     out, heap = [own], [(walls[0][0], (0,))]
@@ -119,15 +122,15 @@ def true_neighbours(keys: DataFrame, sample: list[tuple[int, bytes]], k: int) ->
     return [(r.i, bytes(r.key)) for r in ranked.select("i", "key").collect()]  # k rows a sample vector
 
 
-def fit_tables(keys: DataFrame, asked: DataFrame, k: int, tables: int, width: float, sample: int, recall: float, most_probes: int, seed: int) -> Tables | None:
-    """Projections by the number of distinct vectors, and as many probes as bring ``recall`` of the sample's neighbours."""
+def whole(dims: int) -> Tables:
+    """One bucket for all: every vector is compared."""
+    return Tables(np.zeros((1, dims, 0)), np.zeros((1, 0)), 1.0)
+
+
+def fit_tables(keys: DataFrame, asked: DataFrame, dims: int, n: int, k: int, tables: int, width: float, sample: int, recall: float, most_probes: int, seed: int) -> Tables:
+    """Projections by the number ``n`` of distinct vectors, all of ``dims`` components, and as many probes as bring
+    ``recall`` of the sample's neighbours."""
     picked = [(r.rep, bytes(r.key)) for r in asked.orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()]
-    if not picked:
-        return None
-    size = len(picked[0][1])
-    dims, keys = size // 8, keys.where(F.octet_length("key") == size)
-    picked = [p for p in picked if len(p[1]) == size]
-    n = keys.count()
     hashes = int(np.clip(round(np.log2(max(n, 2)) / 3), 2, 24))
     rng = np.random.default_rng(seed)
     drawn = Tables(rng.normal(size=(tables, dims, hashes)), rng.uniform(0, width, (tables, hashes)), width)
@@ -142,12 +145,12 @@ def fit_tables(keys: DataFrame, asked: DataFrame, k: int, tables: int, width: fl
     return Tables(drawn.normals, drawn.offsets, width, min(probes, most_probes))
 
 
-def approximate_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 4, width: float = 2.0, recall: float = 0.96, sample: int = 64, most_probes: int = 256, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def approximate_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 4, width: float = 2.0, recall: float = 0.96, sample: int = 64, most_probes: int = 256, seed: int = 5, few: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` nearest by cosine that were found, nearest first, ties to the smaller id.
     ``is_query`` is a condition on ``id``.
 
-    Rows with null ids and vectors that are null, empty, zero or not finite take no part, nor do vectors of another
-    length than the first query by hash order. Equal rows count once, equal vectors under other ids each; extra columns are not
+    Rows with null ids and vectors that are null, empty, zero or not finite take no part. Vectors are compared with those
+    of their own length; a length with at most ``few`` distinct vectors is compared whole. Equal rows count once, equal vectors under other ids each; extra columns are not
     read; fewer candidates give fewer rows, an empty table none. Only the choice of the number of probes rests on a
     sample (of ``sample`` queries against all vectors); every vector is indexed and every query answered.
     """
@@ -155,26 +158,29 @@ def approximate_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tab
     keys = staged(distinct_keys(rows, k + 1), "distinct-vectors")
     asking = staged(rows.where(is_query).distinct().join(keys.select("key", "rep"), "key").select(F.col("id").alias("query_id"), F.col("rep").alias("query")), "queries")
     asked = asking.select(F.col("query").alias("rep")).distinct().join(keys.select("rep", "key"), "rep")
-    model = fit_tables(keys, asked, k, tables, width, sample, recall, most_probes, seed)
-    spark = vectors.sparkSession
-    if model is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    size = model.normals.shape[1] * 8
+    size = F.octet_length("key")
+    counts = keys.groupBy(size.alias("size")).count().where(F.col("count") > few)
+    large = counts.join(asked.select(size.alias("size")).distinct(), "size").orderBy("size").collect()  # few: each has many vectors
+    models = {r["size"]: fit_tables(keys.where(size == r["size"]), asked.where(size == r["size"]), r["size"] // 8, r["count"], k, tables, width, sample, recall, most_probes, seed) for r in large}
 
     def buckets(probing: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a in range(0, batch.num_rows, 512):
-                    part = batch.slice(a, 512)
-                    places = model.places(matrix(part.column("key").to_pylist()))
-                    for t in range(len(places)):
-                        if probing:
-                            slots = [perturbations(place, model.probes) for place in places[t]]
-                            at = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-                            names = bucket_keys(np.array([s for own in slots for s in own]))
-                        else:
-                            at, names = np.arange(part.num_rows), bucket_keys(np.floor(places[t]))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t), pa.int32()), pa.array(names), part.column("rep").take(pa.array(at)), part.column("key").take(pa.array(at))], ["tab", "bucket", "rep", "key"])
+                    some = batch.slice(a, 512)
+                    sizes = np.array([len(key) for key in some.column("key").to_pylist()])
+                    for own in np.unique(sizes).tolist():
+                        part = some.take(pa.array(np.flatnonzero(sizes == own)))
+                        model = models.get(own) or whole(own // 8)
+                        places = model.places(matrix(part.column("key").to_pylist()))
+                        for t in range(len(places)):
+                            if probing:
+                                slots = [perturbations(place, model.probes) for place in places[t]]
+                                at = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+                                names = bucket_keys(np.array([s for each in slots for s in each]))
+                            else:
+                                at, names = np.arange(part.num_rows), bucket_keys(np.floor(places[t]))
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own), pa.int32()), pa.array(np.full(len(at), t), pa.int32()), pa.array(names), part.column("rep").take(pa.array(at)), part.column("key").take(pa.array(at))], ["size", "tab", "bucket", "rep", "key"])
 
         return run
 
@@ -184,8 +190,8 @@ def approximate_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tab
         scores, best = top_cosines(matrix(list(found["key"])), matrix(list(queries["key"])), k + 1)
         return pd.DataFrame({"query": np.repeat(own, best.shape[1]), "rep": reps[best].ravel(), "score": scores.ravel()})
 
-    schema = "tab int, bucket long, rep long, key binary"
-    index = keys.where(F.octet_length("key") == size).select("rep", "key").mapInArrow(buckets(False), schema)
-    probes = asked.where(F.octet_length("key") == size).select("rep", "key").mapInArrow(buckets(True), schema)
-    pairs = in_blocks(index, probes, ["tab", "bucket"], compare, "query long, rep long, score double", 4096, 2048)
+    schema = "size int, tab int, bucket long, rep long, key binary"
+    index = keys.select("rep", "key").mapInArrow(buckets(False), schema)
+    probes = asked.select("rep", "key").mapInArrow(buckets(True), schema)
+    pairs = in_blocks(index, probes, ["size", "tab", "bucket"], compare, "query long, rep long, score double", 4096, 2048)
     return nearest_ids(pairs, keys, asking, k, F.desc("score"), "score")
