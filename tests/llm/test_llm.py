@@ -288,6 +288,15 @@ def test_vectors_of_every_length_and_magnitude_are_compared(spark):
     assert nearest_by_brute_force(rows[3], queries, 3) <= got
 
 
+def test_recall_is_kept_where_the_probes_do_not_reach(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(22).normal(size=(1500, 64)))]
+    frame, queries = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), list(range(0, 1500, 50))
+    want = nearest_by_brute_force(rows, queries, 5)
+    for tables, most_probes in ((1, 1), (2, 8)):
+        got = {(r.query_id, r.id) for r in ann.approximate_neighbours(frame, F.col("id") % 50 == 0, tables=tables, most_probes=most_probes).collect()}
+        assert len(got & want) >= 0.95 * len(want), (tables, most_probes)
+
+
 def test_perturbations_come_by_cost_and_do_not_repeat():
     place = np.array([3.2, -1.9, 0.55, 7.01])
     rows = ann.perturbations(place, 500)

@@ -129,7 +129,8 @@ def whole(dims: int) -> Tables:
 
 def fit_tables(keys: DataFrame, asked: DataFrame, dims: int, n: int, k: int, tables: int, width: float, sample: int, recall: float, most_probes: int, seed: int) -> Tables:
     """Projections by the number ``n`` of distinct vectors, all of ``dims`` components, and as many probes as bring
-    ``recall`` of the sample's neighbours."""
+    ``recall`` of the sample's neighbours. Where ``most_probes`` do not bring it, the last hash of every table goes, which
+    makes its buckets larger, until they do; without hashes every vector is compared."""
     picked = [(r.rep, bytes(r.key)) for r in asked.orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()]
     hashes = int(np.clip(round(np.log2(max(n, 2)) / 3), 2, 24))
     rng = np.random.default_rng(seed)
@@ -137,12 +138,16 @@ def fit_tables(keys: DataFrame, asked: DataFrame, dims: int, n: int, k: int, tab
     near = true_neighbours(keys, picked, k)
     if not near:
         return drawn
-    there = np.floor(drawn.places(matrix([key for _, key in near])))
-    places = drawn.places(matrix([key for _, key in picked]))
-    orders = [[{tuple(s): t for t, s in reversed(list(enumerate(perturbations(places[t0, i], most_probes))))} for i in range(len(picked))] for t0 in range(tables)]
-    needed = np.sort([min(orders[t][i].get(tuple(there[t, j]), most_probes) for t in range(tables)) for j, (i, _) in enumerate(near)])
-    probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
-    return Tables(drawn.normals, drawn.offsets, width, min(probes, most_probes))
+    found, own = matrix([key for _, key in near]), matrix([key for _, key in picked])
+    for left in range(hashes, 0, -1):
+        fewer = Tables(drawn.normals[:, :, :left], drawn.offsets[:, :left], width)
+        there, places = np.floor(fewer.places(found)), fewer.places(own)
+        orders = [[{tuple(s): t for t, s in reversed(list(enumerate(perturbations(places[t0, i], most_probes))))} for i in range(len(picked))] for t0 in range(tables)]
+        needed = np.sort([min(orders[t][i].get(tuple(there[t, j]), np.inf) for t in range(tables)) for j, (i, _) in enumerate(near)])
+        last = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]
+        if last < np.inf:
+            return Tables(fewer.normals, fewer.offsets, width, int(last) + 1)
+    return whole(dims)
 
 
 def approximate_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 4, width: float = 2.0, recall: float = 0.96, sample: int = 64, most_probes: int = 256, seed: int = 5, few: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
