@@ -18,11 +18,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once if its row is repeated. A document
-    without an id goes by a number of its text's own, below all ids."""
-    named = docs.withColumn("own_id", F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.shiftright(F.xxhash64("text"), 1))))
-    first = near_duplicates(named, id_col="own_id").where("doc_id = component_id").select(F.col("doc_id").alias("own_id")).distinct()
-    return named.join(first, "own_id", "left_semi").dropDuplicates(["own_id"]).select(*docs.columns)
+    """Of each group of near-duplicate rows the one with the smallest id stays (no id is below all ids), of equal ids the
+    one with the smallest hash of its text, then of its row. An id with texts in several groups stays in each whose row it
+    is the first of."""
+    rows = staged(docs.withColumn("row_no", F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(rows, id_col="row_no").select(F.col("doc_id").alias("row_no"), "component_id")
+    order = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"), F.col("row_no").alias("row_no"))
+    first = rows.select("row_no", order.alias("place")).join(classes, "row_no").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_no")
+    return rows.join(first, "row_no", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

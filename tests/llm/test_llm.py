@@ -449,6 +449,14 @@ def test_pipeline_stages(spark):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
 
 
+def test_dedup_keeps_all_texts_of_a_repeated_id(spark):
+    text = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randint(0, 10**6)}" for i in range(60))
+    rows = [(3, text(3)), (3, text(3)), (5, text(50)), (5, text(3)), (5, text(51)), (7, text(50)), (None, text(8)), (None, text(9)), (8, text(8)), (5, text(60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id or -1, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()))
+    assert kept == sorted([(3, text(3)), (5, text(50)), (5, text(51)), (5, text(60)), (-1, text(8)), (-1, text(9))])
+
+
 def test_stages_take_odd_rows(spark):
     rows = [(1, "a few clean words in a line", None, "s", 27), (1, "a few clean words in a line", None, "s", 27), (None, "a few clean words in a line!", "en", None, None), (None, None, None, None, None), (2, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
