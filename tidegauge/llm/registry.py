@@ -10,6 +10,7 @@ from .byte_bpe import decode_bytes, encode_bytes
 from .common import fold_of, table
 from .hamming import hamming_top_k, sign_codes
 from .lengths import token_counts
+from .line_runs import drop_common_lines
 from .ngram import deleted_interpolation
 from .packing import pack_documents
 from .quality import quality_scores
@@ -77,6 +78,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", ordered.alias("ordered")).select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("ordered")).alias("spans"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_common_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +96,7 @@ QUERIES = {
         op8_token_files,
         op9_byte_bpe,
         op10_secret_scan,
+        op11_line_dedup,
     )
 }
 ORACLES = {
@@ -98,6 +105,14 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 TH
 SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS integer) AS rank, c.vec_id, CAST((len(q.s) - list_dot_product(q.s, c.s)) / 2 AS bigint) AS distance
 FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.s) = len(c.s) WHERE q.vec_id % 20 = 0
 WINDOW w AS (PARTITION BY q.vec_id ORDER BY (len(q.s) - list_dot_product(q.s, c.s)) / 2, c.vec_id) QUALIFY row_number() OVER w <= 10
+""",
+    "op11_line_dedup": """
+WITH doc AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS line FROM documents),
+part AS (SELECT row_no, unnest(line) AS line, unnest(range(len(line))) AS pos FROM doc),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM part),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT row_no) >= 10),
+kept AS (SELECT row_no, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS text FROM keyed ANTI JOIN common USING (key) GROUP BY row_no)
+SELECT doc_id, len(line) AS n_lines, len(line) - coalesce(n_kept, 0) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (row_no)
 """,
 }
 """The others need a tokenizer, a classifier or XXH64, or are approximate; tests hold them against brute force."""
