@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .ann import approximate_neighbours
 from .byte_bpe import decode_bytes, encode_bytes
 from .common import fold_of, table
+from .conversations import repair_conversations
 from .hamming import hamming_top_k, sign_codes
 from .lengths import token_counts
 from .line_runs import drop_common_lines
@@ -83,6 +84,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +102,7 @@ QUERIES = {
         op9_byte_bpe,
         op10_secret_scan,
         op11_line_dedup,
+        op12_conversation_repair,
     )
 }
 ORACLES = {
