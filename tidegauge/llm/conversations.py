@@ -78,7 +78,7 @@ def auction(lattice: Lattice) -> array:
     for i in range(n, -1, -1):
         floor = min(prices[4 * i + 4 : 4 * i + 8]) if i < n else 0
         for q in range(4):
-            prices[4 * i + q] = floor  # no arc costs less than nothing, so this affords none
+            prices[4 * i + q] = floor  # arcs cost nothing or more, so no price is above what an arc affords
         for q in range(4):
             path = [(i, q)]
             while not settled[4 * path[-1][0] + path[-1][1]]:

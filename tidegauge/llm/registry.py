@@ -14,6 +14,7 @@ from .lengths import token_counts
 from .line_runs import drop_common_lines
 from .ngram import deleted_interpolation
 from .packing import pack_documents
+from .periodic_runs import periodic_runs
 from .quality import quality_scores
 from .secret_scan import KINDS, scan_secrets
 from .simhash import near_duplicates
@@ -88,6 +89,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True, whole=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,6 +108,7 @@ QUERIES = {
         op10_secret_scan,
         op11_line_dedup,
         op12_conversation_repair,
+        op13_periodic_runs,
     )
 }
 ORACLES = {
