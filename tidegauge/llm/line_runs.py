@@ -149,7 +149,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     """
     rows = staged(keyed_texts(docs, id_col, text_col).withColumn("row_no", F.monotonically_increasing_id()), "numbered-documents")
     common = common_lines(rows, min_docs, min_chars, batches)
-    spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")  # its estimated size leaves the salts out
     lines = rows.select("row_no", F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).where(F.char_length("key") >= max(min_chars, 1))
     marked = lines.select("row_no", "pos", *hashed(F.col("key")), F.pmod(F.col("row_no"), F.lit(SALTS)).cast("int").alias("salt"))
     gone = marked.join(spread, [*HASH, "salt"], "left_semi").groupBy("row_no").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
