@@ -17,6 +17,7 @@ from tidegauge.operators.state_machine import OUTPUT_COLUMNS, STATES, MachineSta
 from tidegauge.params import Machine, Variant, vary
 from tidegauge.sources import tables as tb
 from tidegauge.sources import vendor as vd
+from tidegauge.sources.snapshots import SnapshotTable
 from tidegauge.streaming import live as lv
 from tidegauge.streaming import quotes as qt
 
@@ -236,7 +237,7 @@ def test_live_stream_publishes_only_the_live_day(spark, tmp_path):
     last.coalesce(1).write.parquet(str(tmp_path / "live"))
     stream = spark.readStream.schema(full.schema).parquet(str(tmp_path / "live"))
     lv.run_live(stream, full, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = SnapshotTable(spark, str(tmp_path / "out")).read().collect()
     want = advisory_frame(build_states(full)).filter(F.col("trade_date") == F.lit(day(149))).collect()[0]
     assert len(got) == 1 and got[0].advisory_signal == want.advisory_signal and got[0].why == want.why
 

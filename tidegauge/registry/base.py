@@ -75,11 +75,31 @@ def with_ctes(select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in names) + f"\n{select}"
 
 
-def register(name: str, build: Callable[[SparkSession, str], DataFrame], spec: str, source: str | None) -> None:
-    """``source`` is the FROM clause of the check (a common table, optionally with WHERE), or None."""
+def with_ctes_instead(select: str, instead: dict[str, str]) -> str:
+    """As ``with_ctes``, with other bodies for some common tables. Those may read tables that were defined later, so each
+    table comes after the tables it reads: names that follow FROM, JOIN, or a comma with an alias of their own."""
+    bodies = CTES | instead
+    names: dict[str, None] = {}
+    begun: set[str] = set()
+
+    def visit(text: str) -> None:
+        for a, b in re.findall(r"(?:FROM|JOIN)\s+(\w+)|,\s*(\w+)\s+[a-z]\w*\b", text):
+            name = a or b
+            if name in bodies and name not in begun:
+                begun.add(name)
+                visit(bodies[name])
+                names[name] = None
+
+    visit(select)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{bodies[n]}\n)" for n in names) + f"\n{select}"
+
+
+def register(name: str, build: Callable[[SparkSession, str], DataFrame], spec: str, source: str | None, instead: dict[str, str] | None = None) -> None:
+    """``source`` is the FROM clause of the check (a common table, optionally with WHERE), or None; ``instead`` as in ``with_ctes_instead``."""
     if name in REGISTRY:
         raise ValueError(f"duplicate query {name}")
-    sql = None if source is None else with_ctes(project_sql(source, spec))
+    select = None if source is None else project_sql(source, spec)
+    sql = None if select is None else with_ctes_instead(select, instead) if instead else with_ctes(select)
     REGISTRY[name] = Query(lambda spark, sf_dir: project(build(spark, sf_dir), spec), sql)
 
 

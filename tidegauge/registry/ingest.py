@@ -9,6 +9,7 @@ from ..schemas import conform
 from ..sources import tables as tb
 from ..sources import testdata as td
 from ..sources import vendor as vd
+from ..sources.snapshots import SnapshotTable
 from .base import cte, register
 
 SUPPLIER = "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"
@@ -16,12 +17,12 @@ register("in1_read_panel", lambda s, d: tb.read_panel(s, f"{d}/supplier.parquet"
 
 
 def saved(spark, d):
-    """Full save, then a bounded replace of one market with doubled volumes."""
-    path = tb.scratch_path(spark, "bars")
+    """Full save, then one market delivered again with doubled volumes."""
+    table = SnapshotTable(spark, tb.scratch_path(spark, "bars"))
     bars = td.bars(spark, d).select("market", "ts_code", "trade_date", "close", "volume")
-    tb.save_dataset(bars, path, ["market"])
-    tb.save_dataset(bars.filter("market = 'ASIA'").withColumn("volume", F.col("volume") * 2), path, ["market"], bounded=True)
-    return spark.read.parquet(path)
+    table.replace(bars)
+    table.replace_where(bars.filter("market = 'ASIA'").withColumn("volume", F.col("volume") * 2), ["market"])
+    return table.read()
 
 
 register("in2_save_dataset", saved, "market ts_code trade_date close:f volume:f", "(SELECT * REPLACE (CASE WHEN market = 'ASIA' THEN volume * 2 ELSE volume END AS volume) FROM bars)")
@@ -48,6 +49,20 @@ def upsert_files(spark, d):
     return spark.read.parquet(path)
 
 
+def upsert_deltas(spark, d):
+    """The newer rows arrive as three deltas, the last of them twice; the table is read over its deltas, untouched rows as
+    they were first written."""
+    old, new = batches(spark, d)
+    table = SnapshotTable(spark, tb.scratch_path(spark, "upsert"), ["market", "ts_code", "trade_date"], "row_seq")
+    table.replace(old)
+    for number, (low, high) in enumerate((("2000-01-01", "2000-04-01"), ("2000-04-01", "2000-08-01"), ("2000-08-01", "2100-01-01"))):
+        part = new.filter((F.col("trade_date") >= F.lit(low).cast("date")) & (F.col("trade_date") < F.lit(high).cast("date")))
+        table.upsert(part, "delivery", number)
+    table.upsert(part.withColumn("close", F.lit(-1.0)), "delivery", number)
+    return table.read()
+
+
+register("in3_upsert_deltas", upsert_deltas, "market ts_code trade_date close:f", "upserted")
 register("in3_upsert_partitions", upsert_files, "market ts_code trade_date close:f", "upserted")
 register("in4_dataset_metadata", lambda s, d: tb.dataset_metadata(td.bars(s, d), "bars", "1", "weekly", ["market"]), "market date_start date_end symbol_count:n row_count:n source version notes",
          "(SELECT market, min(trade_date) AS date_start, max(trade_date) AS date_end, count(DISTINCT ts_code) AS symbol_count, count(*) AS row_count, 'bars' AS source, '1' AS version, 'weekly' AS notes FROM bars GROUP BY market)")

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.regime import regime_indicators
+from ..plans.temperature import raw_factors, score_factors
+from ..operators.quality import dataset_warnings
 from ..sources import tables as tb
 from ..sources import testdata as td
+from ..sources.snapshots import SnapshotTable
+from ..streaming import chain as ch
 from ..streaming import live as lv
 from ..streaming import quotes as qt
 from .base import cte, register
+from .factors import KEYS, W, panel, stretch
+from .quality import Q
+from .scoring import LIVE_DAY
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -34,14 +41,31 @@ def _order():
 _Q = "market ts_code trade_date close:f volume:f event_id:n"
 
 
+FILES = 4
+"""Files of a landed range, and files that a trigger takes."""
+
+
+def landed(spark, frame, name, edges, at="quote_time"):
+    """``frame`` in one folder, ``FILES`` files for each range of times, in the order of the ranges, so that a stream of as many
+    files per trigger takes them as micro-batches."""
+    folder = tb.scratch_path(spark, name)
+    for low, high in zip(edges, edges[1:]):
+        part = frame.filter((F.col(at) >= F.lit(low).cast("timestamp")) & (F.col(at) < F.lit(high).cast("timestamp")))
+        part.repartition(FILES).write.mode("append").parquet(folder)
+    return folder
+
+
 def streamed_quotes(spark, d):
-    """The same table built by the stream: file source, watermark, per-batch upsert."""
-    schema = td.table(spark, d, "events").schema
-    stream = as_quotes(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    """The same table built by the stream over four micro-batches: file source, watermark, deltas by batch. The ranges split
+    days, so later batches bring newer quotes of keys that the table already holds."""
+    source = quotes(spark, d)
+    ends = source.agg(F.min("quote_time").alias("low"), F.max("quote_time").alias("high")).first()
+    step = (ends.high - ends.low) / 4
+    folder = landed(spark, source, "landed-quotes", [ends.low, ends.low + step, ends.low + 2 * step, ends.low + 3 * step, ends.high + step])
+    stream = qt.read_quotes(spark, folder, source.schema, "parquet", FILES)
     target = tb.scratch_path(spark, "latest")
-    query = qt.run_latest_quotes(spark, stream, target, tb.scratch_path(spark, "ckpt"), order=_order())
-    query.awaitTermination()
-    return spark.read.parquet(target)
+    qt.run_latest_quotes(spark, stream, target, tb.scratch_path(spark, "ckpt"), order=_order()).awaitTermination()
+    return SnapshotTable(spark, target).read()
 
 
 register("st1_latest_quotes", lambda s, d: qt.latest_quotes(quotes(s, d), order=_order()), _Q, "latest_quotes")
@@ -122,3 +146,54 @@ def candidates(spark, d):
 
 register("st8_live_source_priority", lambda s, d: qt.prefer_source(candidates(s, d), ["market", "trade_date"]), "market trade_date event_id:n source_rank:n",
          "(SELECT * FROM (SELECT *, CASE WHEN day(trade_date) % 3 = 0 OR event_id % 2 = 0 THEN 1 ELSE 0 END AS source_rank FROM quotes) QUALIFY source_rank = min(source_rank) OVER (PARTITION BY market, trade_date))")
+
+
+def stored_history(spark, d):
+    """What is stored before the live day: recent bars, limit rows and benchmarks, raw factors, and scored days."""
+    bars = panel(spark, d)
+    day = F.lit(LIVE_DAY).cast("date")
+    past, index = bars.filter(F.col("trade_date") < day), td.index_bars(spark, d, bars).filter(F.col("trade_date") < day)
+    limits = td.limits(past)
+    factors = tb.hand_off(raw_factors(past, limits, W, Q, dedupe=False))
+    ratios = tb.hand_off(stretch(spark, d, bars).filter(F.col("trade_date") < day))
+    daily = score_factors(factors, ratios, dataset_warnings(past, limits, None, Q, KEYS), Q, td.PERCENTILE)
+    recent = past.filter(F.col("trade_date") >= F.date_sub(day, 7 * 30))
+    return ch.Stored(recent, limits.filter(F.col("trade_date") >= F.date_sub(day, 7 * 30)), index, factors, ratios, tb.hand_off(daily))
+
+
+def live_index(bars):
+    return td.index_bars(bars.sparkSession, "", bars.withColumn("sk", F.col("ts_code").cast("bigint")))
+
+
+def live_pools(bars):
+    return td.limits(bars.withColumn("sk", F.col("ts_code").cast("bigint")))
+
+
+def live_chain(spark, d):
+    """Three polls of the live week land one after the other and pass the whole chain as micro-batches: stale stamps before
+    the session, a part of the week at lunch, the whole after the close. Beside each published series stand its quotes, given and refused."""
+    polls = tb.hand_off(td.live_polls(spark, d, LIVE_DAY))
+    folder = landed(spark, polls, "landed-polls", [f"{LIVE_DAY} {t}" for t in ("00:00:00", "11:00:00", "13:00:00", "23:59:59")], "landed_at")
+    published = SnapshotTable(spark, tb.scratch_path(spark, "live"), ["market", "trade_date"])
+    rejected = SnapshotTable(spark, tb.scratch_path(spark, "rejected"))
+    stream = qt.read_quotes(spark, folder, polls.schema, "parquet", FILES)
+    scoring = ch.Scoring(W, Q, td.PERCENTILE)
+    ch.run_live_chain(stream, stored_history(spark, d), live_index, published, rejected, tb.scratch_path(spark, "ckpt"), scoring, live_limits=live_pools).awaitTermination()
+    given = polls.groupBy("market").agg(F.count("*").alias("given"))
+    refused = rejected.read().groupBy("market").agg(F.count_if(F.col("reason") == "NOT_TODAY").alias("not_today"), F.count_if(F.col("reason") == "SUPERSEDED_SOURCE").alias("superseded"), F.count("*").alias("refused"))
+    return published.read().join(given, "market").join(refused, "market")
+
+
+cte("poll_ticks", f"""
+SELECT DISTINCT market, sk, poll FROM tick, (VALUES {', '.join(f"({n}, {days})" for n, (_, days) in enumerate(td.POLLS))}) p(poll, days)
+WHERE (poll = 0 AND trade_date = DATE '{LIVE_DAY}' - 7) OR (poll > 0 AND trade_date = DATE '{LIVE_DAY}' AND days > isodow(ord[1]) - 1)
+""")
+cte("poll_counts", """
+SELECT market, count(*) + count(*) FILTER (WHERE sk % 3 = 0) AS given, count(*) FILTER (WHERE poll = 0) AS not_today,
+  count(*) FILTER (WHERE sk % 3 = 0) AS superseded, count(*) FILTER (WHERE poll = 0) + count(*) FILTER (WHERE sk % 3 = 0) AS refused
+FROM poll_ticks GROUP BY market
+""")
+# The state layer reads the daily run, cut at the live week, in place of its own compact table.
+register("st6_live_chain", live_chain, "market trade_date raw_temperature:f smoothed_temperature:f state signal state_duration:n quality advisory_signal signal_confidence headline why market_status given:n not_today:n superseded:n refused:n",
+         f"(SELECT a.*, c.* EXCLUDE (market), 'CLOSED' AS market_status FROM advisory a JOIN poll_counts c USING (market) WHERE trade_date = DATE '{LIVE_DAY}')",
+         {"regime_daily": f"SELECT * FROM temperature WHERE trade_date <= DATE '{LIVE_DAY}'"})

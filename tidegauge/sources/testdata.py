@@ -206,3 +206,30 @@ def regime_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n").cast("bigint").alias("observed_universe"),
         F.col("best").cast("bigint").alias("expected_eligible_count"),
     )
+
+
+# Polls of a live week: clock time, and how many days of the week have traded by then. The first brings the week before's quotes.
+POLLS = (("09:40:00", 0), ("12:00:00", 4), ("15:05:00", 7))
+
+
+def live_polls(spark: SparkSession, sf_dir: str, week: str) -> DataFrame:
+    """Quotes as a vendor would land them during ``week``, taken as one trading day: each poll has every security's prices
+    and accumulated turnover so far, stamped a minute (at lunch half an hour) before. The first poll still has the stamps and prices of the
+    week before, and at every poll a second source repeats each third security."""
+    day = F.lit(week).cast("date")
+    at = {n: F.to_timestamp(F.concat_ws(" ", day.cast("string"), F.lit(clock))) for n, (clock, _) in enumerate(POLLS)}
+    own = ticks(spark, sf_dir).filter((F.col("trade_date") == day) | (F.col("trade_date") == F.date_sub(day, 7)))
+    reach = F.when(F.col("trade_date") < day, F.array(F.lit(0))).otherwise(
+        F.filter(F.array(*[F.lit(n) for n in range(1, len(POLLS))]), lambda n: F.array(*[F.lit(days) for _, days in POLLS])[n] > F.weekday(F.col("ord.o_orderdate")))
+    )
+    seen = own.withColumn("poll", F.explode(reach)).groupBy("sk", "poll").agg(
+        F.min_by("px", "ord").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "ord").alias("close"), F.sum("qty").alias("volume"), (F.sum("cents").cast("double") / 100.0).alias("amount_rmb"),
+    )
+    before = bars(spark, sf_dir).filter(F.col("trade_date") == day).select("sk", "pre_close")
+    landed = F.coalesce(*[F.when(F.col("poll") == n, t) for n, t in at.items()])
+    stamp = F.when(F.col("poll") == 0, F.to_timestamp(F.concat(F.date_sub(day, 7).cast("string"), F.lit(" 15:00:00")))).when(F.col("poll") == 1, landed - F.expr("INTERVAL 31 MINUTES")).otherwise(landed - F.expr("INTERVAL 1 MINUTE"))
+    rows = seen.join(venues(spark, sf_dir), "sk").join(before, "sk", "left").select(
+        landed.alias("landed_at"), stamp.alias("quote_time"), "market", F.col("sk").cast("string").alias("ts_code"), F.lit(None).cast("string").alias("name"), "open", "high", "low", "close", "pre_close", "volume", "amount_rmb",
+        F.explode(F.when(F.col("sk") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("source_rank"), "poll",
+    )
+    return rows.withColumn("source", F.when(F.col("source_rank") == 0, "first").otherwise("second"))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.advisory import advisory_frame
 from ..operators.state_machine import OUTPUT, OUTPUT_COLUMNS, MachineState, build_states, run_series
 from ..params import Variant
-from ..sources.tables import save_dataset
+from ..sources.snapshots import SnapshotTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
@@ -32,13 +32,14 @@ def live_snapshot(history: DataFrame, live: DataFrame, keys: Sequence[str] = ("m
 
 
 def run_live(live_daily: DataFrame, history: DataFrame | Callable[[], DataFrame], target: str, checkpoint: str, keys: Sequence[str] = ("market",)) -> StreamingQuery:
-    """Per micro-batch of scored live rows, overwrite the live table's partitions of the series in the batch; other
-    series keep theirs. ``history`` may be a function, which is then called for every batch."""
+    """Per micro-batch of scored live rows, upsert the live days' advisory into a snapshot table under the batch id; other
+    series and days keep theirs. ``history`` may be a function, which is then called for every batch."""
+    table = SnapshotTable(live_daily.sparkSession, target, [*keys, "trade_date"])
 
-    def publish(batch: DataFrame, _: int) -> None:
+    def publish(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             _, advisory = live_snapshot(history() if callable(history) else history, batch, keys)
-            save_dataset(advisory, target, keys, bounded=True)
+            table.upsert(advisory, "live", number)
 
     return live_daily.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.series import flag
 from ..functions.text import CHINEXT_PREFIXES, starts_with_any
 from ..schemas import QUOTES
-from ..sources.tables import save_dataset, scratch_path, upsert
+from ..sources.snapshots import SnapshotTable
 
 # Session times and limits of the live market.
 OPEN_AM, CLOSE_AM, OPEN_PM, CLOSE_PM = "09:30:00.000000", "11:30:00.000000", "13:00:00.000000", "15:00:00.000000"
@@ -46,26 +46,12 @@ def latest_quotes(quotes: DataFrame, keys: Sequence[str] = ("market",), order: s
     return newest.select(*keys, "ts_code", F.col("window.start").cast("date").alias("trade_date"), "_q.*")
 
 
-def run_latest_quotes(spark: SparkSession, quotes: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("market",), order: str | Column = "quote_time", versions: str | None = None) -> StreamingQuery:
-    """Keep a table of the newest quote per security and day, updated per micro-batch.
-
-    Each batch writes only the days it touches; the touched rows are staged before they are replaced, and the staged
-    copy goes when they are.
-    """
-    from ..sources.tables import drop_path, path_exists
-
-    def merge(batch: DataFrame, _: int) -> None:
-        staged = scratch_path(spark, "quotes")
-        fresh = batch.withColumn("row_seq", F.lit(0))
-        if path_exists(spark, target):
-            stored = spark.read.parquet(target)
-            touched = stored.join(fresh.select("trade_date").distinct(), "trade_date", "left_semi")
-            fresh = upsert(touched, fresh, [*keys, "ts_code", "trade_date"], "quote_time")
-        save_dataset(fresh, staged)
-        save_dataset(spark.read.parquet(staged), target, ["trade_date"], bounded=True)
-        drop_path(spark, staged)
-
-    return latest_quotes(quotes, keys, order).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_latest_quotes(spark: SparkSession, quotes: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("market",), order: str | Column = "quote_time") -> StreamingQuery:
+    """Keep a snapshot table of the newest quote per security and day. A micro-batch adds its own keys as a delta under its
+    batch id: no other row is written again, a batch that fails leaves the table as it was, and a replay adds nothing."""
+    table = SnapshotTable(spark, target, [*keys, "ts_code", "trade_date"], "quote_time")
+    newest = latest_quotes(quotes, keys, order).writeStream.outputMode("update")
+    return newest.foreachBatch(lambda batch, number: table.upsert(batch, "latest-quotes", number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def session_status(at: Column) -> Column:
