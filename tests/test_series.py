@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from conftest import frame, values
 
 from tidegauge.functions import series as sr
@@ -18,7 +19,7 @@ def series(spark, xs, market="M"):
 
 
 def test_ema_skips_invalid_rows(spark):
-    got = values(series(spark, [10, 12, None, 16]).withColumn("e", sr.valid_ema("x", ["market"], 2)), "e")
+    got = values(sr.add_valid_ema(series(spark, [10, 12, None, 16]), "e", "x", ["market"], 2), "e")
     assert got[2] is None
     assert np.allclose([got[0], got[1], got[3]], [10, 34 / 3, 14.444444444])
 
@@ -27,7 +28,7 @@ def test_ema_skips_invalid_rows(spark):
 def test_ema_equals_plain_recursion(spark, span):
     rng = np.random.default_rng(1)
     xs = [None if rng.random() < 0.2 else float(v) for v in rng.uniform(0, 100, 200)]
-    got = values(series(spark, xs).withColumn("e", sr.valid_ema("x", ["market"], span)), "e")
+    got = values(sr.add_valid_ema(series(spark, xs), "e", "x", ["market"], span), "e")
     alpha, previous = 2 / (span + 1), None
     for x, g in zip(xs, got):
         if x is None:
@@ -78,7 +79,8 @@ def test_wilder_mean(spark, gap):
     xs = [None] + [float(v) for v in rng.uniform(1, 5, 60)]
     if gap is not None:
         xs[gap] = None
-    df = series(spark, xs).withColumn("pos", F.row_number().over(sr.ordered(["market"])) - 1).withColumn("m", sr.wilder_mean("x", "pos", ["market"], n))
+    df = series(spark, xs).withColumn("pos", F.row_number().over(sr.ordered(["market"])) - 1)
+    df = sr.add_wilder_means(df, {"m": ("x", n)}, "pos", ["market"])
     got = values(df, "m")
     want = [None] * len(xs)
     want[n] = float(np.mean([x for x in xs[1 : n + 1] if x is not None]))
@@ -104,8 +106,24 @@ def test_long_flat_tail_keeps_the_ratio_of_averages(spark):
         return out
 
     df = spark.createDataFrame([("M", i, g, x) for i, (g, x) in enumerate(zip(gains, losses))], "market string, trade_date int, g double, l double")
-    got = df.withColumns({"g": sr.wilder_mean("g", "trade_date", ["market"], n), "l": sr.wilder_mean("l", "trade_date", ["market"], n)}).orderBy("trade_date").collect()
+    got = sr.add_wilder_means(df, {"g": ("g", n), "l": ("l", n)}, "trade_date", ["market"]).orderBy("trade_date").collect()
     for row, g, x in zip(got, plain(gains), plain(losses)):
         assert (row.g is None) == (g is None)
         if g is not None:
             assert row.g == pytest.approx(g, rel=1e-9, abs=0) and row.l == pytest.approx(x, rel=1e-9, abs=0)
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 128, 129, 5000])
+def test_recursive_scan_equals_the_loop_to_the_last_bit(spark, n):
+    """Three series of different length, one of them of key NULL; blocks left unfinished; two recurrences at once."""
+    rng = np.random.default_rng(n)
+    rows = [(m, i, float(rng.normal())) for m, size in (("M", n), ("N", n // 2 + 1), (None, 70)) for i in range(size)]
+    df = frame(spark, "market string, trade_date int, x double", rows)
+    steps = {"mean": (F.col("x"), lambda y, x: F.when(y.isNull(), x).otherwise((y * 13.0 + x) / 14.0)), "total": (F.col("x"), lambda y, x: F.coalesce(y, F.lit(0.0)) + x)}
+    got = {(r.market, r.trade_date): (r.mean, r.total) for r in sr.recursive_scan(df, steps, ["market"]).collect()}
+    mean, total = {}, {}
+    for m, i, x in rows:
+        mean[m] = (mean[m] * 13.0 + x) / 14.0 if m in mean else x
+        total[m] = total.get(m, 0.0) + x
+        assert got[m, i] == (mean[m], total[m]), (m, i)
+    assert len(got) == len(rows)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import count_true, degenerate_mask, flag, ordered, ratio, rolling, wilder_mean
+from ..functions.series import add_wilder_means, count_true, degenerate_mask, flag, ordered, ratio, rolling
 from ..params import Degenerate, Windows
 from ..schemas import require
 from .panel import keep_first, trading_dates
@@ -248,11 +248,9 @@ def add_stretch(index: DataFrame, windows: Windows = Windows(), keys: Sequence[s
     ranged = add_true_range(index, keys)
     delta = F.col("close") - F.col("previous_close")
     moved = ranged.withColumns({"_gain": F.greatest(delta, F.when(delta.isNotNull(), 0.0)), "_loss": F.when(delta < 0, -delta).when(delta.isNotNull(), 0.0)})
-    averaged = moved.withColumns(
+    smoothed = add_wilder_means(moved, {"_avg_gain": ("_gain", windows.rsi), "_avg_loss": ("_loss", windows.rsi), "atr14": ("true_range", windows.atr)}, "position", keys)
+    averaged = smoothed.withColumns(
         {
-            "_avg_gain": wilder_mean("_gain", "position", keys, windows.rsi),
-            "_avg_loss": wilder_mean("_loss", "position", keys, windows.rsi),
-            "atr14": wilder_mean("true_range", "position", keys, windows.atr),
             "index_ma": rolling(F.avg, "close", windows.index_ma, keys),
             "return5d": F.col("close") / F.nullif(F.lag("close", windows.short_return).over(ordered(keys)), F.lit(0.0)) - 1.0,
             "return20d": F.col("close") / F.nullif(F.lag("close", windows.long_return).over(ordered(keys)), F.lit(0.0)) - 1.0,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import flag, valid_ema, valid_extreme, valid_lag
+from ..functions.series import add_valid_ema, flag, valid_extreme, valid_lag
 from ..params import MODULES, Variant
 
 SMOOTHING = ("smoothed_temperature", "temperature_shock", "slope1", "slope3", "rolling_high_10", "rolling_low_10", "recovery_from_low", "drop_from_high")
@@ -55,7 +55,7 @@ def mark_valid(daily: DataFrame) -> DataFrame:
 
 
 def add_smoothing(df: DataFrame, keys: Sequence[str], span: int | Column = 3, slope_lookback: int = 3, turning_window: int = 10, raw: str = "raw_temperature") -> DataFrame:
-    smoothed = df.withColumn("smoothed_temperature", valid_ema(raw, keys, span))
+    smoothed = add_valid_ema(df, "smoothed_temperature", raw, keys, span)
     ema = F.col("smoothed_temperature")
     ranged = smoothed.withColumns(
         {
