@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators.regime import regime_indicators
@@ -11,6 +13,7 @@ from ..sources import tables as tb
 from ..sources import testdata as td
 from ..sources.snapshots import SnapshotTable
 from ..streaming import chain as ch
+from ..streaming import gate as gt
 from ..streaming import live as lv
 from ..streaming import quotes as qt
 from .base import cte, register
@@ -96,6 +99,40 @@ SELECT *, reason IS NULL AS accepted FROM (SELECT *, CASE WHEN status = 'OPEN' A
   FROM (SELECT market, trade_date, max(quote_time) AS as_of, max(poll) AS poll, CASE WHEN strftime(max(poll), '%H:%M') < '09:30' THEN 'PREOPEN' WHEN strftime(max(poll), '%H:%M') <= '11:30' THEN 'OPEN' WHEN strftime(max(poll), '%H:%M') < '13:00' THEN 'LUNCH' WHEN strftime(max(poll), '%H:%M') <= '15:00' THEN 'OPEN' ELSE 'CLOSED' END AS status FROM polled GROUP BY market, trade_date))
 """)
 register("st3_freshness_gate", lambda s, d: qt.freshness_gate(polled(s, d), F.col("poll"), ["market", "trade_date"]).withColumnRenamed("market_status", "status"), "market trade_date status reason accepted", "gate")
+GATE_LATENESS = 10
+"""Days; the replayed quotes span a month."""
+
+
+def gated_stream(spark, d):
+    """The quotes, dealt over three polls whatever their time, pass the stateful gate as three micro-batches after the last
+    day's close. The source ``error`` delivers in the first only and falls silent."""
+    source = quotes(spark, d)
+    close = F.to_timestamp(F.concat(F.lit(str(source.agg(F.max(F.to_date("quote_time"))).first()[0])), F.lit(" 16:00:00")))
+    taken = tb.hand_off(source.withColumn("poll", F.when(F.col("market") == "error", 0).otherwise(F.col("event_id") % 3).cast("int")).withColumn("landed_at", close + F.expr("make_interval(0, 0, 0, 0, 0, 10 * poll, 0)")))
+    first = taken.agg(F.min("landed_at")).first()[0]
+    folder = landed(spark, taken, "gate", [first + dt.timedelta(minutes=m) for m in (0, 10, 20, 30)], "landed_at")
+    accepted, rejected = (SnapshotTable(spark, tb.scratch_path(spark, name)) for name in ("accepted", "rejected"))
+    status = SnapshotTable(spark, tb.scratch_path(spark, "status"), ["market"], "since")
+    gt.run_gate(spark, qt.read_quotes(spark, folder, taken.schema, "parquet", FILES), accepted, rejected, status, tb.scratch_path(spark, "ckpt"), ["market"], lateness=f"{GATE_LATENESS} days")
+    counts = accepted.read().groupBy("market").agg(F.count("*").alias("accepted"))
+    refused = rejected.read().groupBy("market").agg(F.count_if(F.col("reason") == "LATE").alias("late"), F.count_if(F.col("reason") != "LATE").alias("refused"))
+    given = taken.groupBy("market").agg(F.count("*").alias("given"))
+    whole = given.join(counts, "market", "left").join(refused, "market", "left").join(status.read(), "market", "left").fillna(0, ["accepted", "late", "refused"])
+    return whole.withColumn("since", F.date_format("since", "HH:mm:ss"))
+
+
+cte("gate_polls", "SELECT *, CASE WHEN market = 'error' THEN 0 ELSE event_id % 3 END AS poll, max(trade_date) OVER () AS last_day FROM quotes")
+cte("gate_newest", "SELECT market, poll, max(quote_time) AS newest, CAST(max(quote_time) AS date) = any_value(last_day) AND strftime(max(quote_time), '%H:%M:%S') >= '14:55:00' AS good FROM gate_polls GROUP BY market, poll")
+cte("gate_before", "SELECT a.market, a.poll, a.good, max(b.newest) AS before FROM gate_newest a LEFT JOIN gate_newest b ON b.market = a.market AND b.poll < a.poll AND b.good GROUP BY a.market, a.poll, a.good")
+cte("gate_stream", f"""
+SELECT market, count(*) AS given, count(*) FILTER (WHERE good AND (before IS NULL OR quote_time >= before - INTERVAL {GATE_LATENESS} DAY)) AS accepted,
+  count(*) FILTER (WHERE good AND quote_time < before - INTERVAL {GATE_LATENESS} DAY) AS late, count(*) FILTER (WHERE NOT good) AS refused,
+  CASE WHEN NOT bool_or(good) THEN NULL WHEN max(poll) FILTER (WHERE good) < 2 THEN 'STALE' ELSE 'CURRENT' END AS status,
+  CASE WHEN NOT bool_or(good) THEN NULL WHEN max(poll) FILTER (WHERE good) < 2 THEN strftime(TIMESTAMP '2000-01-01 16:03:00' + INTERVAL 10 MINUTE * max(poll) FILTER (WHERE good), '%H:%M:%S')
+    ELSE strftime(TIMESTAMP '2000-01-01 16:00:00' + INTERVAL 10 MINUTE * min(poll) FILTER (WHERE good), '%H:%M:%S') END AS since
+FROM gate_polls JOIN gate_before USING (market, poll) GROUP BY market
+""")
+register("st3_stream_gate", gated_stream, "market given:n accepted:n late:n refused:n status since", "gate_stream")
 register("st4_turnover_projection", lambda s, d: qt.project_turnover(quotes(s, d), F.col("quote_time")), "event_id:n amount_rmb:f amount_rmb_actual:f",
          "(SELECT event_id, amount_rmb AS amount_rmb_actual, CASE WHEN market_status IN ('OPEN', 'LUNCH') THEN amount_rmb / greatest(fraction, 0.08E0) ELSE amount_rmb END AS amount_rmb FROM clock)")
 

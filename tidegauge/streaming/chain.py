@@ -20,7 +20,7 @@ from ..operators.state_machine import build_states
 from ..params import Degenerate, Percentile, Quality, Windows
 from ..plans.temperature import intraday_temperature
 from ..schemas import BARS, INDEX_BARS, LIMITS, conform, fields
-from ..sources.snapshots import SnapshotTable
+from ..sources.snapshots import SnapshotTable, consume
 from ..sources.tables import hand_off
 from .quotes import freshness_gate, infer_limits, prefer_source, project_turnover, session_fraction
 
@@ -133,10 +133,11 @@ def run_live_chain(quotes: DataFrame, stored: Stored | Callable[[], Stored], liv
 
     def publish(batch: DataFrame, number: int) -> None:
         if rejected.committed(name, number):  # a batch's last commit
+            consume(batch)
             return
         rows = batch.persist()  # read by the gate, the chain and the rejects; a lost block is read from the source again
         try:
-            if not rows.isEmpty():
+            if rows.count():
                 found = score_live(rows, stored() if callable(stored) else stored, live_index, scoring, keys, landed, untimed, live_limits)
                 if found.published is not None:
                     published.upsert(found.published, name, number)

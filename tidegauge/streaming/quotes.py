@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.series import flag
 from ..functions.text import CHINEXT_PREFIXES, starts_with_any
 from ..schemas import QUOTES
-from ..sources.snapshots import SnapshotTable
+from ..sources.snapshots import SnapshotTable, consume
 
 # Session times and limits of the live market.
 OPEN_AM, CLOSE_AM, OPEN_PM, CLOSE_PM = "09:30:00.000000", "11:30:00.000000", "13:00:00.000000", "15:00:00.000000"
@@ -50,8 +50,15 @@ def run_latest_quotes(spark: SparkSession, quotes: DataFrame, target: str, check
     """Keep a snapshot table of the newest quote per security and day. A micro-batch adds its own keys as a delta under its
     batch id: no other row is written again, a batch that fails leaves the table as it was, and a replay adds nothing."""
     table = SnapshotTable(spark, target, [*keys, "ts_code", "trade_date"], "quote_time")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        if table.committed("latest-quotes", number):
+            consume(batch)
+        else:
+            table.upsert(batch, "latest-quotes", number)
+
     newest = latest_quotes(quotes, keys, order).writeStream.outputMode("update")
-    return newest.foreachBatch(lambda batch, number: table.upsert(batch, "latest-quotes", number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return newest.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def session_status(at: Column) -> Column:
