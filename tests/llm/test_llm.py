@@ -457,6 +457,12 @@ def test_dedup_keeps_all_texts_of_a_repeated_id(spark):
     assert kept == sorted([(3, text(3)), (5, text(50)), (5, text(51)), (5, text(60)), (-1, text(8)), (-1, text(9))])
 
 
+def test_dedup_keeps_a_column_named_like_its_row_number(spark):
+    rows = [(i, f"some words that stand here once {i} " * 9, -7, i * 10) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_no int, ROW_NO_ long")
+    assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, SF).collect())) == rows
+
+
 def test_stages_take_odd_rows(spark):
     rows = [(1, "a few clean words in a line", None, "s", 27), (1, "a few clean words in a line", None, "s", 27), (None, "a few clean words in a line!", "en", None, None), (None, None, None, None, None), (2, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

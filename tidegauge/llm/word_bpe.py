@@ -48,9 +48,19 @@ class WordEncoder:
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks without spaces."""
-        plain = [PLAIN.fullmatch(c) is not None for c in chunks]  # "<" is not: it may begin one of the added tokens
-        ids = iter(self.met_pieces.grouped([PIECES.findall(c.lower()) for c, ok in zip(chunks, plain, strict=True) if ok]))
-        return [b"".join(next(ids) if ok else [self.raw[i] for i in self.library.encode(c, add_special_tokens=False).ids]) for c, ok in zip(chunks, plain, strict=True)]
+        split = list(map(self.split, chunks))
+        ids = iter(self.met_pieces.grouped([pieces for pieces in split if pieces is not None]))
+        return [b"".join([self.raw[i] for i in self.library.encode(c, add_special_tokens=False).ids] if pieces is None else next(ids)) for c, pieces in zip(chunks, split, strict=True)]
+
+    @staticmethod
+    def split(chunk: str) -> list[str] | None:
+        """Pieces of a chunk, or None where only the library knows. ASCII letters, alone or before a stop or comma, need no pattern."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1]]
+        return PIECES.findall(chunk.lower()) if PLAIN.fullmatch(chunk) else None  # "<" is not plain: it may begin one of the added tokens
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
