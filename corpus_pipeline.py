@@ -21,11 +21,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate rows the one with the smallest id stays (no id is below all ids), of equal ids the
     one with the smallest hash of its text, then of its row. An id with texts in several groups stays in each whose row it
     is the first of."""
-    rows = staged(docs.withColumn("row_no", F.monotonically_increasing_id()), "numbered")
-    classes = near_duplicates(rows, id_col="row_no").select(F.col("doc_id").alias("row_no"), "component_id")
-    order = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"), F.col("row_no").alias("row_no"))
-    first = rows.select("row_no", order.alias("place")).join(classes, "row_no").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_no")
-    return rows.join(first, "row_no", "left_semi").select(*docs.columns)
+    number = "row_no"
+    while number.lower() in map(str.lower, docs.columns):
+        number += "_"
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(rows, id_col=number).select(F.col("doc_id").alias(number), "component_id")
+    order = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"), F.col(number).alias("number"))
+    first = rows.select(number, order.alias("place")).join(classes, number).groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.number").alias(number))
+    return rows.join(first, number, "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
