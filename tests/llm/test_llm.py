@@ -469,3 +469,24 @@ def test_stages_take_odd_rows(spark):
     for frame in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, frame, SF).collect()
+
+
+def test_every_bucket_goes_through_the_bit_sliced_comparison(monkeypatch):
+    rng = np.random.default_rng(12)
+    asked, close = [], simhash.close_pairs
+    monkeypatch.setattr(simhash, "close_pairs", lambda planes, n, codes, radius, **more: asked.append(n) or close(planes, n, codes, radius, **more))
+    sizes = (1, 2, 3, 64, 65, 700)
+    for n in sizes:
+        codes = np.unique(np.uint64(0x0F0F) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)))
+        pairs = [(i, j) for i in range(len(codes)) for j in range(i) if int(codes[i] ^ codes[j]).bit_count() <= 2]
+        assert roots(range(len(codes)), pairs) == roots(range(len(codes)), simhash.forest(codes, 2).tolist())
+    assert len(asked) == len(sizes)
+
+
+def test_hot_fingerprints_join_like_others(spark, monkeypatch):
+    rows = [(i, "same words in every copy here") for i in range(40)] + [(100 + i, f"text {i} of its own {i * i} kind {i * 7}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, simhash.near_duplicates(frame).collect()))
+    monkeypatch.setattr(simhash, "HOT_SHARE", 3)
+    assert sorted(map(tuple, simhash.near_duplicates(frame).collect())) == plain and len(plain) == 70
+    assert {c for d, _, c in plain if d < 40} == {0}
