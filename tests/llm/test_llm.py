@@ -490,3 +490,64 @@ def test_hot_fingerprints_join_like_others(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_SHARE", 3)
     assert sorted(map(tuple, simhash.near_duplicates(frame).collect())) == plain and len(plain) == 70
     assert {c for d, _, c in plain if d < 40} == {0}
+
+
+def test_every_long_run_is_a_candidate():
+    text = "plain words, AbCdEfGhIjKlMnOpQrStUvWxYz and 123456789012 or a/b-c_d=e+fgh; short1 ------------ é" + "x" * 12
+    runs = [text[a:b] for a, b in secret_scan.other_runs(text, [])]
+    assert runs == [m[0] for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text)] and len(runs) == 5
+    assert [text[a:b] for a, b in secret_scan.other_runs(text, [], least=6)] == [m[0] for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text)]
+    first = secret_scan.window("key: secret = 'abcDEF12'", 5, 23)
+    assert secret_scan.bare(first) == secret_scan.window(" abcDEF12 ", 1, 9)
+    assert secret_scan.bare(first, secret_scan.window("the river, then", 4, 9)) == secret_scan.window("the abcDEF12, then", 4, 12)
+
+
+def test_keys_of_letters_alone_are_found_and_clean_runs_left(spark):
+    r = random.Random(21)
+    words = "river stone market winter garden letter international responsibilities state-of-the-art characteristically --------------------".split()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    prose = lambda: " ".join(r.choice(words) for _ in range(30))
+    rows = [(i, f"{prose()} password = {key(24, letters + '0123456789')} {prose()}") for i in range(300)]
+    rows += [(i, f"{prose()} {key(26, letters)} {prose()}") for i in range(1000, 1100)] + [(i, f"{prose()} {prose()}") for i in range(3000, 3200)]
+    found = {x.doc_id: [f.kind for f in x.findings] for x in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("model" in found[i] for i in range(1000, 1100)) >= 40  # before, none was a candidate
+    assert sum("model" in found[i] for i in range(3000, 3200)) <= 4
+
+
+def test_secret_query_equals_plain_expressions(spark):
+    rule = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    texts, kinds = texts_by_id(spark), ("assign", "access", "hex", "model")
+    for row in registry.op10_secret_scan(spark, SF).collect():
+        x = texts.pop(row.doc_id)
+        base = [(m.start(), 0, m.end()) for m in rule.finditer(x) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24]
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        joined = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(base))
+        assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        spans = [(int(a), kinds.index(k), int(b)) for k, a, b in (s.split(":") for s in row.spans.split(",") if s)]
+        assert spans == sorted(spans) and sorted(base) == [s for s in spans if s[1] < 3]
+    assert not texts
+
+
+def test_token_queries_equal_the_library(spark):
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts, start, seen = texts_by_id(spark), 0, {r.doc_id: r for r in registry.op8_token_files(spark, SF).collect()}
+    assert len(seen) == len(texts)
+    for doc_id in sorted(texts):
+        ids = np.array([*library.encode(texts[doc_id], add_special_tokens=False).ids, 2], "<u4")
+        row = seen[doc_id]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_length_query_equals_counting(spark):
+    encode = lengths.byte_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    sizes = sorted(len(encode.encode_ordinary(t)) for t in texts_by_id(spark).values())
+    got = {r.n_tokens: r for r in registry.op3_token_counts(spark, SF).collect()}
+    assert set(got) == set(sizes)
+    for n, row in got.items():
+        longer, at_most = [s for s in sizes if s >= n], sum(s <= n for s in sizes)
+        assert (row.n_docs, row.docs_at_least, row.tokens_at_least, row.docs_at_most) == (sizes.count(n), len(longer), sum(longer), at_most)
+        assert row.truncated_total == sum(min(s, n) for s in sizes) and row["quantile"] == pytest.approx(at_most / len(sizes))
