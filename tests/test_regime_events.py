@@ -197,6 +197,20 @@ def test_bootstrap_is_close_to_numpy_and_repeats(spark):
     assert abs(got["a"].MedianCI95Low - low) < 0.006 and abs(got["a"].MedianCI95High - high) < 0.006
 
 
+def test_bootstrap_draws_equal_cells_once_and_in_ranges_of_samples(spark):
+    rng = np.random.default_rng(3)
+    sets = {"a": rng.normal(size=31), "b": rng.normal(size=30), "c": rng.normal(size=31), "one": np.array([0.25])}
+    sets["a again"] = sets["a"][::-1]
+    df = spark.createDataFrame([(c, float(x)) for c, v in sets.items() for x in v], "cell string, ret double")
+    whole, parts = ({r.cell: tuple(r)[1:] for r in st.bootstrap_intervals(df, ["cell"], samples=999, chunk_draws=n).collect()} for n in (1 << 22, 700))
+    assert set(whole) == set(sets) and whole["a"] == whole["a again"] and whole == parts
+    for c, v in sets.items():
+        drawn = np.sort(v)[st.drawn_places(42, np.arange(999), len(v))]
+        want = [*np.percentile(drawn.mean(axis=1), [2.5, 97.5]), *np.percentile(np.median(drawn, axis=1), [2.5, 97.5])]
+        assert np.allclose(whole[c], want, rtol=1e-12, atol=1e-15)
+
+
+
 def test_evidence_labels(spark):
     rows = [(5, 0.1, 0.1, 0.1, None, None), (12, 0.1, 0.1, -0.1, None, None), (25, 0.1, 0.1, 0.1, 0.02, 0.2), (12, 0.1, 0.1, 0.1, 0.02, 0.2), (12, 0.1, 0.1, 0.1, -0.1, 0.2), (12, 0.1, -0.1, 0.1, 0.02, 0.2)]
     df = frame(spark, "n bigint, mean double, med double, x double, lo double, hi double", rows)

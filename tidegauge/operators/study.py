@@ -86,30 +86,50 @@ def drawn_places(seed: int, samples: np.ndarray, n: int) -> np.ndarray:
     return second % n
 
 
-def bootstrap_intervals(values: DataFrame, cell: Sequence[str], value: str = "ret", samples: int = 10_000, seed: int = 42, chunk_draws: int = 1 << 20) -> DataFrame:
+INTERVALS = ("MeanCI95Low", "MeanCI95High", "MedianCI95Low", "MedianCI95High")
+
+
+def bootstrap_intervals(values: DataFrame, cell: Sequence[str], value: str = "ret", samples: int = 10_000, seed: int = 42, chunk_draws: int = 1 << 22) -> DataFrame:
     """Percentile bootstrap 95 % intervals of mean and median per cell.
 
-    The values of a cell (one per event, so a calendar's length at most) travel as one array; draws come from (seed,
-    sample, draw) by integer arithmetic, so a lost task redraws the same numbers and any engine can repeat them. A
-    single value is its own interval.
+    The values of a cell (one per event, so a calendar's length at most) travel as one sorted array. Cells of equal values
+    are drawn once, and a large cell is cut into ranges of samples of about ``chunk_draws`` draws. Draws come from (seed,
+    sample, draw) by integer arithmetic, so a lost task redraws the same numbers and any engine can repeat them; they
+    depend on a cell's size alone, so cells of one size share places and the ranks of medians. A single value is its own
+    interval.
     """
     cell = list(cell)
-    packed = values.filter(F.col(value).isNotNull()).groupBy(*cell).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    names = ("MeanCI95Low", "MeanCI95High", "MedianCI95Low", "MedianCI95High")
+    own = F.struct(*cell)
+    packed = values.filter(F.col(value).isNotNull()).groupBy(*cell).agg(F.sort_array(F.collect_list(value)).alias("_v"))
+    named = packed.withColumn("_first", F.min(own).over(Window.partitionBy("_v")))
+    step = F.greatest(F.lit(1), F.floor(F.lit(chunk_draws) / F.size("_v"))).cast("int")
+    parts = named.filter(F.col("_first") == own).select("_first", "_v", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1), step)).alias("_from"))
+    order = [F.size("_v"), "_from"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, places, low, high = None, None, None, None
         for batch in batches:
-            found = []
-            for v in batch.pop("_v"):
-                v = np.asarray(v, float)
-                step = max(1, chunk_draws // len(v))
-                drawn = [v[drawn_places(seed, np.arange(a, min(a + step, samples)), len(v))] for a in range(0, samples, step)]
-                means, middles = (np.concatenate([f(x, axis=1) for x in drawn]) for f in (np.mean, np.median))
-                found.append([*np.percentile(means, [2.5, 97.5]), *np.percentile(middles, [2.5, 97.5])])
-            yield batch.assign(**{n: [f[i] for f in found] for i, n in enumerate(names)})
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in packed.select(*cell).dtypes) + "".join(f", {n} double" for n in names)
-    return packed.repartition(*cell).mapInPandas(run, schema)
+            means, middles = [], []
+            for v, a, some in zip(batch.pop("_v"), batch["_from"], batch.pop("_step"), strict=True):
+                v, n = np.asarray(v, float), len(v)
+                if known != (n, a):
+                    known, places = (n, a), drawn_places(seed, np.arange(a, min(a + some, samples)), n)
+                    ranks = np.partition(places, [(n - 1) // 2, n // 2], axis=1)
+                    low, high = ranks[:, (n - 1) // 2].copy(), ranks[:, n // 2].copy()
+                means.append(v[places].mean(axis=1))
+                middles.append((v[low] + v[high]) / 2)
+            yield batch.assign(_means=means, _middles=middles)
+
+    def at(ordered: str, share: float) -> Column:
+        place = share * (samples - 1)
+        before, after = F.col(ordered)[int(place)], F.col(ordered)[min(int(place) + 1, samples - 1)]
+        return before + (after - before) * (place - int(place))
+
+    kind = ", ".join(f"`{c}`: {t}" for c, t in packed.select(*cell).dtypes)
+    drawn = parts.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, f"_first struct<{kind}>, _from int, _means array<double>, _middles array<double>")
+    merged = drawn.groupBy("_first").agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("_means", "_middles")])
+    bounds = [at(c, share).alias(name) for name, (c, share) in zip(INTERVALS, [(c, q) for c in ("_means", "_middles") for q in (0.025, 0.975)], strict=True)]
+    return named.select(*cell, "_first").join(merged.select("_first", *bounds), "_first").drop("_first")
 
 
 def summarize(attached: DataFrame, cell: Sequence[str]) -> DataFrame:
@@ -157,7 +177,7 @@ def study_table(sets: DataFrame, outcomes: DataFrame, baselines: DataFrame, pair
     if bootstrap_samples:
         table = table.join(bootstrap_intervals(attached, cell, "ret", bootstrap_samples, seed), cell, "left")
     else:
-        table = table.withColumns({c: F.lit(None).cast("double") for c in ("MeanCI95Low", "MeanCI95High", "MedianCI95Low", "MedianCI95High")})
+        table = table.withColumns({c: F.lit(None).cast("double") for c in INTERVALS})
     excess = {"ExcessReturn": "Mean", "ExcessCI95Low": "MeanCI95Low", "ExcessCI95High": "MeanCI95High"}
     table = table.withColumns({n: F.col(c) - F.col("BaselineMean") for n, c in excess.items()})
     event_count = F.when(F.col("event_set") == "raw", F.col("RawN")).when(F.col("event_set") == "declustered", F.col("DeclusteredN")).otherwise(F.col("EpisodeN"))
@@ -204,15 +224,21 @@ def time_split(events: DataFrame, outcomes: DataFrame, baselines: DataFrame, ben
     )
 
 
-def robustness_table(events: DataFrame, outcomes: DataFrame, baselines: DataFrame, variants: Sequence, benchmarks: Sequence[str], defaults: dict[str, float], horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ("market",)) -> DataFrame:
-    """Confirmed-signal results of every parameter set and the share of sets that agree in direction with
+def robustness_table(events: DataFrame, outcomes: DataFrame, baselines: DataFrame, variants: Sequence, benchmarks: Sequence[str], defaults: dict[str, float], horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ("market",), bootstrap_samples: int = 10_000, seed: int = 42) -> DataFrame:
+    """Confirmed-signal results of every parameter set, with the interval of the mean, and the share of sets that agree in direction with
     the default value. ``events`` carries ``variant_id``; all sets come from one run."""
     from .events import attach_outcomes
 
     keys = list(keys)
     confirmed = events.filter(F.col("event_type").isin(*CONFIRMED_SIGNALS)).select(*keys, "variant_id", "event_type", "event_id", "date")
     cell = [*keys, "variant_id", "event_type", "benchmark", "horizon"]
-    stats = summarize(attach_outcomes(confirmed, outcomes, benchmarks, horizons, keys), cell)
+    attached = attach_outcomes(confirmed, outcomes, benchmarks, horizons, keys)
+    stats = summarize(attached, cell)
+    if bootstrap_samples:
+        bounds = bootstrap_intervals(attached, cell, "ret", bootstrap_samples, seed)
+        stats = stats.join(bounds.select(*cell, F.col("MeanCI95Low").alias("ci_low"), F.col("MeanCI95High").alias("ci_high")), cell, "left")
+    else:
+        stats = stats.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
     counts = confirmed.groupBy(*keys, "variant_id", "event_type").agg(F.count("*").alias("event_count"))
     pairs = [(v.variant_id, s) for v in variants for s in CONFIRMED_SIGNALS]
     plain = baselines.filter("baseline_type = 'UNCONDITIONAL'").select(*keys, "benchmark", "horizon", F.col("Mean").alias("BaselineMean"))

@@ -289,18 +289,20 @@ def robust_catalog(spark, d):
     return ev.event_catalog(build_states(td.regime_daily(spark, d), ROBUST), ["market", "variant_id"])
 
 
-def robustness(spark, d, s=None, base=None):
+def robustness(spark, d, s=None, base=None, samples=10_000):
     s = s or stage(spark, d)
     base = hand_off(s.baselines()) if base is None else base
-    return st.robustness_table(hand_off(robust_catalog(spark, d)), s.outcomes, base, ROBUST, B, DEFAULTS, H)
+    return st.robustness_table(hand_off(robust_catalog(spark, d)), s.outcomes, base, ROBUST, B, DEFAULTS, H, bootstrap_samples=samples)
 
 
 cte("rob_stats", f"SELECT market, variant_id, event_type, benchmark, horizon, {_STATS} FROM attached_rob WHERE event_type IN {_CONF} GROUP BY ALL")
+_boot_sql("rob_boot", f"(SELECT * FROM attached_rob WHERE event_type IN {_CONF})", "market, variant_id, event_type, benchmark, horizon")
 cte("rob_counts", f"SELECT market, variant_id, event_type, count(*) AS event_count FROM rob_catalog WHERE event_type IN {_CONF} GROUP BY ALL")
 cte("rob_grid", f"""
-SELECT m.market, v.variant_id, v.parameter, v.value, g.event_type, b.benchmark, h.horizon, coalesce(c.event_count, 0) AS event_count, coalesce(s.N, 0) AS N, s.Mean, s.Median, s.PositiveRate, s.Mean - u.Mean AS ExcessReturn
+SELECT m.market, v.variant_id, v.parameter, v.value, g.event_type, b.benchmark, h.horizon, coalesce(c.event_count, 0) AS event_count, coalesce(s.N, 0) AS N, s.Mean, s.Median, s.PositiveRate, s.Mean - u.Mean AS ExcessReturn, k.MeanCI95Low AS ci_low, k.MeanCI95High AS ci_high
 FROM (SELECT DISTINCT market FROM baselines) m CROSS JOIN rob_variants v CROSS JOIN (SELECT unnest({list(_CONF)}) AS event_type) g CROSS JOIN (SELECT unnest({list(B)}) AS benchmark) b CROSS JOIN horizons h
 LEFT JOIN rob_stats s ON s.market = m.market AND s.variant_id = v.variant_id AND s.event_type = g.event_type AND s.benchmark = b.benchmark AND s.horizon = h.horizon
+LEFT JOIN rob_boot k ON k.market = m.market AND k.variant_id = v.variant_id AND k.event_type = g.event_type AND k.benchmark = b.benchmark AND k.horizon = h.horizon
 LEFT JOIN rob_counts c ON c.market = m.market AND c.variant_id = v.variant_id AND c.event_type = g.event_type
 LEFT JOIN baselines u ON u.market = m.market AND u.benchmark = b.benchmark AND u.horizon = h.horizon AND u.baseline_type = 'UNCONDITIONAL'
 """)
@@ -310,7 +312,7 @@ SELECT *, CASE WHEN same_direction_ratio < 2.0 / 3.0 THEN 'THRESHOLD_SENSITIVE'
 FROM (SELECT *, avg(CASE WHEN sign(coalesce(ExcessReturn, 0)) = sign(coalesce(nullif(base, 0), CASE WHEN starts_with(event_type, 'ICE') THEN 1 ELSE -1 END)) THEN 1.0E0 ELSE 0.0E0 END) OVER (PARTITION BY market, parameter, event_type, benchmark, horizon) AS same_direction_ratio
   FROM (SELECT *, max(CASE WHEN {_default} THEN ExcessReturn END) OVER (PARTITION BY market, parameter, event_type, benchmark, horizon) AS base FROM rob_grid))
 """)
-register("ev18_parameter_robustness", robustness, "market parameter value:f event_type benchmark horizon:n event_count:n N:n Mean:f Median:f PositiveRate:f ExcessReturn:f same_direction_ratio:f parameter_sensitivity_warning", "robustness")
+register("ev18_parameter_robustness", robustness, "market parameter value:f event_type benchmark horizon:n event_count:n N:n Mean:f Median:f PositiveRate:f ExcessReturn:f ci_low:f ci_high:f same_direction_ratio:f parameter_sensitivity_warning", "robustness")
 cte("gate_main", """
 SELECT market, event_type, bool_or(N >= 10) AS sample_ok, starts_with(event_type, 'ICE') AS up,
   coalesce(bool_or(N >= 10 AND CASE WHEN starts_with(event_type, 'ICE') THEN ExcessReturn > 0 ELSE ExcessReturn < 0 END), false)
@@ -345,7 +347,7 @@ def readiness(spark, d, every=False):
     s = stage(spark, d)
     base, sets = hand_off(s.baselines()), hand_off(ev.event_sets(s.catalog))
     primary = s.study(st.PRIMARY, base, sets, 0)  # the gate reads no interval
-    return st.readiness(hand_off(primary) if every else primary, s.study(st.COMPARATORS, base, sets, 0), robustness(spark, d, s, base), persistence_from_all_sets=every)
+    return st.readiness(hand_off(primary) if every else primary, s.study(st.COMPARATORS, base, sets, 0), robustness(spark, d, s, base, 0), persistence_from_all_sets=every)
 
 
 _READY = "market event_type sample_ok effect_ok direction_ok persistence_ok robustness_ok comparator_ok ready reasons"
