@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.regime import regime_indicators
 from ..operators.state_machine import build_states
+from ..operators.zones import add_zones
 from ..sources import testdata as td
 from ..sources.tables import hand_off
 from . import regime_sql  # noqa: F401
@@ -42,6 +43,7 @@ register(
     "euphoria_episode_id:n euphoria_episode_age:n post_euphoria_high:f drop_from_post_euphoria_high:f recent_euphoria_episode euphoria_episode_closed", "base_state",
 )
 register("rg9_zone_hysteresis", states, "market trade_date zone_state", "base_state")
+register("rg9_zone_scan", lambda s, d: add_zones(indicators(s, d)), "market trade_date zone_state", "base_state")
 register("rg10_state_duration", states, "market trade_date state state_duration:n", "base_state")
 
 from ..operators import regime_reports as rr  # noqa: E402
