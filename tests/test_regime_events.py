@@ -14,6 +14,7 @@ from tidegauge.operators import study as st
 from tidegauge.operators.advisory import advisory_frame, audit_checks
 from tidegauge.operators.regime import regime_indicators
 from tidegauge.operators.state_machine import OUTPUT_COLUMNS, STATES, MachineState, build_states, step, zone_of
+from tidegauge.operators.zones import add_zones
 from tidegauge.params import Machine, Variant, vary
 from tidegauge.sources import tables as tb
 from tidegauge.sources import vendor as vd
@@ -265,3 +266,41 @@ def test_live_table_keeps_other_series(spark, tmp_path):
         save_dataset(frame(spark, "market string, trade_date string, x int", [(market, "2024-01-02", 1)]), target, ["market"], bounded=True)
     save_dataset(frame(spark, "market string, trade_date string, x int", [("N", "2024-01-03", 2)]), target, ["market"], bounded=True)
     assert sorted((r.market, r.trade_date, r.x) for r in spark.read.parquet(target).collect()) == [("M", "2024-01-02", 1), ("N", "2024-01-03", 2)]
+
+
+def test_composed_zones_equal_the_day_by_day_rule(spark):
+    rng = np.random.default_rng(5)
+    start, rows = dt.date(2020, 1, 1), []
+    for market, gap in (("A", 1), ("B", 9), ("C", 40)):  # many rows a block, a few, blocks of one
+        for i in range(300):
+            value = None if rng.random() < 0.1 else float(rng.choice([rng.uniform(0, 100), 27, 30, 33, 67, 70]))
+            rows.append((market, "v", start + dt.timedelta(days=i * gap), value is not None and bool(rng.random() < 0.95), value, float("nan") if i % 50 == 7 else value))
+    df = frame(spark, "market string, variant_id string, trade_date date, regime_valid_observation boolean, raw_temperature double, smoothed_temperature double", rows)
+    df = df.withColumn("p", F.struct(F.lit(30.0).alias("cool_threshold"), F.lit(70.0).alias("warm_threshold"), F.lit(3.0).alias("zone_hysteresis")))
+    zoned = add_zones(df)
+    got = {(r.market, r.trade_date): r.zone_state for r in zoned.collect()}
+    zone, want = {}, {}
+    for market, _, day, valid, raw, smooth in rows:
+        if valid and raw is not None and smooth == smooth:
+            zone[market] = zone_of(smooth, zone.get(market, ""), 30, 70, 3)
+            want[market, day] = zone[market]
+        else:
+            want[market, day] = "DATA_INVALID"
+    assert got == want and set(want.values()) == {"HOT", "NORMAL", "COLD", "DATA_INVALID"}
+    assert "Python" not in zoned._jdf.queryExecution().toString() and "Pandas" not in zoned._jdf.queryExecution().toString()
+    assert add_zones(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("window", [0, 3, 20])
+def test_decluster_equals_a_greedy_loop(spark, window):
+    rng = np.random.default_rng(window)
+    rows = [("M", "ICE", "T", f"{k}", None if k % 3 else str(k), int(p), dt.date(2020, 1, 1) + dt.timedelta(days=int(p))) for k, p in enumerate(np.sort(rng.choice(900, 400, replace=False)))]
+    rows += [("M", "HOT", "T2", "single", None, 5, dt.date(2020, 1, 6))]
+    events = frame(spark, "market string, direction string, event_type string, event_id string, episode_id string, date_position long, date date", rows)
+    last, want = None, {"single"}
+    for _, direction, _, name, _, at, _ in rows:
+        if direction == "ICE" and (last is None or at - last > window):
+            last = at
+            want.add(name)
+    assert {r.event_id for r in ev.decluster_events(events, "declustered", window).collect()} == want
+    assert {r.event_id for r in ev.event_sets(events, window).filter("event_set = 'declustered'").collect()} == want

@@ -62,15 +62,26 @@ def event_catalog(states: DataFrame, keys: Sequence[str] = ("market",)) -> DataF
     )
 
 
-def _kept_positions(positions: Column, window: int) -> Column:
-    """Greedy scan of sorted positions: keep one when it lies more than ``window`` after the last kept."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+FOLD_BLOCK = 64
+
+
+def _kept_flags(positions: Column, window: int) -> Column:
+    """Greedy scan of sorted positions: one is kept when it lies more than ``window`` after the last kept, or equals it.
+    A flag for each, gathered block by block, so that no growing array is copied at every row."""
+    flags = F.array().cast("array<boolean>")
+    begin = lambda last, nested: F.struct(last.alias("last"), F.array().cast(nested).alias("kept"))
 
     def merge(acc: Column, p: Column) -> Column:
         take = acc["last"].isNull() | (p - acc["last"] > window)
-        return F.struct(F.when(take, p).otherwise(acc["last"]).alias("last"), F.when(take, F.concat(acc["kept"], F.array(p))).otherwise(acc["kept"]).alias("kept"))
+        return F.struct(F.when(take, p).otherwise(acc["last"]).alias("last"), F.concat(acc["kept"], F.array(flag(take | (p == acc["last"])))).alias("kept"))
+
+    def block(acc: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice(positions, k * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)), begin(acc["last"], "array<boolean>"), merge)
+        return F.struct(done["last"].alias("last"), F.concat(acc["kept"], F.array(done["kept"])).alias("kept"))
 
-    return F.aggregate(positions, start, merge, lambda acc: acc["kept"])
+    blocks = F.sequence(F.lit(0), F.floor((F.size(positions) - 1) / FOLD_BLOCK).cast("int"))
+    scanned = F.aggregate(blocks, begin(F.lit(None).cast("bigint"), "array<array<boolean>>"), block, lambda acc: F.flatten(acc["kept"]))
+    return F.when(F.size(positions) > 0, scanned).otherwise(flags)
 
 
 def decluster_events(events: DataFrame, mode: str = "raw", window: int = 20, by: Sequence[str] = ("market", "direction")) -> DataFrame:
@@ -86,7 +97,8 @@ def decluster_events(events: DataFrame, mode: str = "raw", window: int = 20, by:
     if mode == "episode":
         w = Window.partitionBy(*by, "episode_id").orderBy(*order)
         return events.filter(F.col("episode_id").isNotNull()).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    kept = events.groupBy(*by).agg(_kept_positions(F.array_sort(F.collect_set("date_position")), window).alias("kept")).select(*by, F.explode("kept").alias("date_position"))
+    placed = events.groupBy(*by).agg(F.array_sort(F.collect_set("date_position")).alias("at"))
+    kept = placed.select(*by, F.explode(F.arrays_zip("at", _kept_flags(F.col("at"), window).alias("kept"))).alias("e")).filter("e.kept").select(*by, F.col("e.at").alias("date_position"))
     first = Window.partitionBy(*by, "date_position").orderBy("date", "event_type")
     return events.join(kept, [*by, "date_position"], "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
@@ -97,11 +109,10 @@ def event_sets(events: DataFrame, window: int = 20, keys: Sequence[str] = ("mark
     rest = [c for c in events.columns if c not in by]
     w = Window.partitionBy(*by, "episode_id").orderBy("date_position")
     firsts = events.withColumn("_first", F.col("episode_id").isNotNull() & (F.row_number().over(w) == 1))
-    packed = firsts.groupBy(*by).agg(F.collect_list(F.struct(*rest, "_first")).alias("rows"))
-    packed = packed.withColumn("kept", _kept_positions(F.array_sort(F.transform("rows", lambda r: r["date_position"])), window))
-    spread = packed.select(*by, "kept", F.explode("rows").alias("r")).select(*by, "kept", "r.*")
-    sets = F.array_compact(F.array(F.lit("raw"), F.when(F.array_contains("kept", F.col("date_position")), F.lit("declustered")), F.when(F.col("_first"), F.lit("episode"))))
-    return spread.withColumn("event_set", F.explode(sets)).drop("kept", "_first").select(*events.columns, "event_set")
+    packed = firsts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("date_position").alias("at"), F.struct(*rest, "_first").alias("r")))).alias("rows"))
+    spread = packed.select(*by, F.explode(F.arrays_zip("rows", _kept_flags(F.col("rows.at"), window).alias("kept"))).alias("e")).select(*by, F.col("e.kept").alias("_kept"), "e.rows.r.*")
+    sets = F.array_compact(F.array(F.lit("raw"), F.when(F.col("_kept"), F.lit("declustered")), F.when(F.col("_first"), F.lit("episode"))))
+    return spread.withColumn("event_set", F.explode(sets)).drop("_kept", "_first").select(*events.columns, "event_set")
 
 
 def prepare_benchmark(bars: DataFrame, keys: Sequence[str] = ("market", "benchmark")) -> DataFrame:
