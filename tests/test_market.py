@@ -208,3 +208,23 @@ def test_production_run_carries_the_assessment(spark):
     assert len(out) == 12 and all(r.production_gate == "INVALID" and r.raw_market_temperature is None for r in out)
     for code in ("HISTORICAL_LIST_DATE_INCOMPLETE", "EXPECTED_UNIVERSE_BELOW_MINIMUM_4", "SURVIVORSHIP_BIAS_WARNING", "PARTIAL_STOCK_PANEL_SYMBOLS_4"):
         assert code in out[-1].data_quality_warnings.split(";")
+
+
+def test_profile_reads_the_panel_once_and_counts_every_row(spark):
+    """Null days and codes, a declared universe, repeated rows, and metadata that comes late."""
+    rows = [
+        ("M", "a", dt.date(2024, 1, 2), None, None, None, None), ("M", "a", dt.date(2024, 1, 3), dt.date(2024, 1, 1), None, 0, 7), ("M", "a", dt.date(2024, 1, 3), dt.date(2024, 1, 1), None, 0, 7),
+        ("M", "b", None, dt.date(2023, 1, 1), dt.date(2024, 1, 2), 1, 9), ("M", None, dt.date(2024, 1, 4), None, None, None, 50), (None, "z", dt.date(2024, 1, 2), None, None, None, 4),
+    ]
+    df = frame(spark, "market string, ts_code string, trade_date date, list_date date, delist_date date, is_st int, universe_count int", rows)
+    profile = dq.panel_profile(df)
+    securities = profile.filter("is_day = 0").groupBy("market").agg(F.count("*").alias("n"), F.sum("listed_rows").alias("l"), F.sum("delisted_rows").alias("d"), F.sum("st_rows").alias("s")).collect()
+    assert {r.market: (r.n, r.l, r.d, r.s) for r in securities} == {"M": (3, 3, 1, 3), None: (1, 0, 0, 0)}
+    expected = {(r.market, r.trade_date): (r.expected_eligible_count, r.expected_universe_source) for r in dq.expected_from_profile(profile).collect()}
+    assert expected == {
+        ("M", dt.date(2024, 1, 2)): (1, "point_in_time_listing_metadata"), ("M", dt.date(2024, 1, 3)): (1, "point_in_time_listing_metadata"),
+        (None, dt.date(2024, 1, 2)): (4, "declared_universe_count"),
+    }
+    plan = dq.expected_universe_daily(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 1
+    assert dq.panel_profile(df.limit(0)).count() == 0

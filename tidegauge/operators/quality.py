@@ -89,45 +89,74 @@ def missing_members(expected: DataFrame, present: DataFrame, keys: Sequence[str]
     )
 
 
+def panel_profile(panel: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:
+    """A row per security and a row per trading day (``is_day``), from one reading of the panel by grouping sets.
+
+    It holds what the expected universe, the coverage assessment and the standing warnings ask of the raw panel. Partials
+    merge map-side, so the shuffle carries a row per security and day and input partition; the table has as many rows as
+    there are securities and days, and may be handed off where several readers want it. Columns that the panel lacks count
+    as null.
+    """
+    keys = list(keys)
+    known = F.col("trade_date").isNotNull() & F.col("ts_code").isNotNull()
+    given = lambda name, kind: F.col(name).alias(f"_{name}") if name in panel.columns else F.lit(None).cast(kind).alias(f"_{name}")
+    narrow = panel.select(
+        *keys, "ts_code", "trade_date", F.when(known, F.col("trade_date")).alias("_day"),
+        given("list_date", "date"), given("delist_date", "date"), given("is_st", "int"), given("universe_count", "bigint"),
+    )
+    dated = lambda name: F.when(F.col(name).isNotNull(), F.col("_day"))
+    grouped = narrow.groupingSets([[*keys, "ts_code"], [*keys, "trade_date"]], *keys, "ts_code", "trade_date").agg(
+        F.grouping("ts_code").cast("int").alias("is_day"),
+        F.min("_day").alias("first_seen"),
+        F.min_by("_list_date", dated("_list_date")).alias("list_date"),
+        F.min_by("_delist_date", dated("_delist_date")).alias("delist_date"),
+        F.max(F.when(F.col("_day").isNotNull(), F.col("_universe_count"))).cast("bigint").alias("declared"),
+        F.count("_list_date").alias("listed_rows"),
+        F.count("_delist_date").alias("delisted_rows"),
+        F.count("_is_st").alias("st_rows"),
+    )
+    return grouped.select(*keys, "is_day", F.col("first_seen"), *[F.when(F.col("is_day") == 0, F.col(c)).alias(c) for c in ("list_date", "delist_date", "listed_rows", "delisted_rows", "st_rows")], F.when(F.col("is_day") == 1, F.col("declared")).alias("declared"))
+
+
 def expected_universe_daily(panel: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:
+    return expected_from_profile(panel_profile(panel, keys), keys)
+
+
+def expected_from_profile(profile: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:
     """As-of count of listed securities per trading day.
 
     Each security contributes +1 on the day it is both seen and listed and -1 the day after delisting;
     a running sum over day-level deltas replaces any day-by-security product.
     """
     keys = list(keys)
-    day = F.col("trade_date")
-    seen = F.when(F.col("list_date").isNotNull(), day)
-    gone = F.when(F.col("delist_date").isNotNull(), day)
-    securities = panel.filter(day.isNotNull() & F.col("ts_code").isNotNull()).groupBy(*keys, "ts_code").agg(
-        F.min("trade_date").alias("first_seen"),
-        F.min_by("list_date", seen).alias("list_date"),
-        F.min_by("delist_date", gone).alias("delist_date"),
-    )
     start = F.greatest("first_seen", "list_date")
     stop = F.date_add("delist_date", 1)
     alive = F.col("delist_date").isNull() | (stop > start)
     has_meta = (F.col("list_date").isNotNull() | F.col("delist_date").isNotNull()).cast("int")
 
-    def event(when: Column, active: Column | int, new: int, meta: Column | int) -> Column:
-        lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-        return F.struct(when.alias("trade_date"), lit(active).cast("bigint").alias("active"), lit(new).cast("bigint").alias("new"), lit(meta).cast("int").alias("meta"))
+    security = F.col("is_day") == 0
 
-    events = securities.select(
+    def event(when: Column, active: int, new: int, meta: Column | int, declared: Column | None = None, is_day: int = 0) -> Column:
+        whole = F.lit(None).cast("bigint") if declared is None else declared
+        return F.struct(
+            when.alias("trade_date"), F.lit(active).cast("bigint").alias("active"), F.lit(new).cast("bigint").alias("new"), (meta if isinstance(meta, Column) else F.lit(meta)).cast("int").alias("meta"),
+            whole.alias("declared"), F.lit(is_day).alias("is_day"),
+        )
+
+    events = profile.select(
         *keys,
         F.explode(
-            F.array(
-                event(F.col("first_seen"), 0, 1, has_meta),
-                event(F.when(alive, start), 1, 0, 0),
-                event(F.when(alive, stop), -1, 0, 0),
-            )
+            F.when(
+                security,
+                F.array(
+                    event(F.col("first_seen"), 0, 1, has_meta),
+                    event(F.when(alive, start), 1, 0, 0),
+                    event(F.when(alive, stop), -1, 0, 0),
+                ),
+            ).otherwise(F.array(event(F.col("first_seen"), 0, 0, 0, F.col("declared"), 1)))
         ).alias("e"),
     ).select(*keys, "e.*").filter("trade_date IS NOT NULL")
-    deltas = events.groupBy(*keys, "trade_date").agg(F.sum("active").alias("active"), F.sum("new").alias("new"), F.max("meta").alias("meta"), F.lit(None).cast("bigint").alias("declared"), F.lit(0).alias("is_day"))
-    days = panel.filter(day.isNotNull() & F.col("ts_code").isNotNull()).groupBy(*keys, "trade_date").agg(F.max("universe_count").cast("bigint").alias("declared")).select(
-        *keys, "trade_date", F.lit(0).cast("bigint").alias("active"), F.lit(0).cast("bigint").alias("new"), F.lit(0).alias("meta"), "declared", F.lit(1).alias("is_day")
-    )
-    merged = deltas.unionByName(days).groupBy(*keys, "trade_date").agg(
+    merged = events.groupBy(*keys, "trade_date").agg(
         F.sum("active").alias("active"), F.sum("new").alias("new"), F.max("meta").alias("meta"), F.max("declared").alias("declared"), F.max("is_day").alias("is_day")
     )
     w = running(keys)
@@ -199,11 +228,13 @@ def market_coverage_daily(panel: DataFrame, quality: Quality = Quality(), keys:
     return coverage_from_counts(panel_coverage_counts(panel, keys, dedupe), expected_universe_daily(panel, keys), quality, keys)
 
 
-def assess_market_coverage(coverage: DataFrame, panel: DataFrame, quality: Quality = Quality(), keys: Sequence[str] = ("market",)) -> DataFrame:
-    """Latest day per market against the production thresholds, with metadata-completeness warnings."""
+def assess_market_coverage(coverage: DataFrame, panel: DataFrame, quality: Quality = Quality(), keys: Sequence[str] = ("market",), profile: DataFrame | None = None) -> DataFrame:
+    """Latest day per market against the production thresholds, with metadata-completeness warnings. The panel is read only
+    where its ``profile`` is not given."""
     keys = list(keys)
     latest = coverage.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in coverage.columns if c not in keys]), "trade_date").alias("r"), F.count("*").alias("date_count")).select(*keys, "date_count", "r.*")
-    meta = panel.groupBy(*keys).agg(F.count("list_date").alias("_listed"), F.count("delist_date").alias("_delisted"), F.count("is_st").alias("_st"))
+    profile = panel_profile(panel, keys) if profile is None else profile
+    meta = profile.groupBy(*keys).agg(F.sum("listed_rows").alias("_listed"), F.sum("delisted_rows").alias("_delisted"), F.sum("st_rows").alias("_st"))
     ratio_now = F.coalesce("coverage_ratio", F.lit(0.0))
     enough = F.col("expected_eligible_count") >= quality.minimum_universe
     covered = ratio_now >= quality.minimum_coverage
@@ -259,10 +290,12 @@ def ratio_violation(columns: Sequence[str] = RATIO_COLUMNS) -> Column:
     return flag(F.exists(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: F.coalesce((x < 0) | (x > 1), F.lit(False))))
 
 
-def dataset_warnings(panel: DataFrame, limits: DataFrame, assessment: DataFrame | None = None, quality: Quality = Quality(), keys: Sequence[str] = ("market",)) -> DataFrame:
-    """One row per market with the standing warnings of its data set."""
+def dataset_warnings(panel: DataFrame, limits: DataFrame, assessment: DataFrame | None = None, quality: Quality = Quality(), keys: Sequence[str] = ("market",), profile: DataFrame | None = None) -> DataFrame:
+    """One row per market with the standing warnings of its data set. The panel is read only where its ``profile`` is not
+    given."""
     keys = list(keys)
-    symbols = panel.groupBy(*keys, "ts_code").agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count("*").alias("symbols"))
+    profile = panel_profile(panel, keys) if profile is None else profile
+    symbols = profile.groupBy(*keys).agg(F.count_if(F.col("is_day") == 0).alias("symbols"))
     methods = approximate_sources(limits, keys).withColumn("_has_limits", F.lit(True))
     out = symbols.join(methods, keys, "left")
     extra = F.array().cast("array<string>")

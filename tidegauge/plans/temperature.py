@@ -25,17 +25,18 @@ from ..operators.factors import (
     prepare_limit_panel,
 )
 from ..operators.panel import prepare_stock_panel
-from ..operators.quality import add_integrity_gate, add_quality_grade, assess_market_coverage, coverage_from_counts, dataset_warnings, expected_universe_daily
+from ..operators.quality import add_integrity_gate, add_quality_grade, assess_market_coverage, coverage_from_counts, dataset_warnings, expected_from_profile, panel_profile
 from ..operators.scoring import add_temperature, score_breadth, score_liquidity, score_profit_effect, score_stretch
 from ..params import Degenerate, Percentile, Quality, Windows
 from ..sources.tables import hand_off
 
 
-def raw_factors(panel: DataFrame, limits: DataFrame, windows: Windows = Windows(), quality: Quality = Quality(), cfg: Degenerate = Degenerate(), keys: Sequence[str] = ("market",), dedupe: bool = True) -> DataFrame:
-    """Daily factor table: the panel is prepared once and aggregated once for all modules."""
+def raw_factors(panel: DataFrame, limits: DataFrame, windows: Windows = Windows(), quality: Quality = Quality(), cfg: Degenerate = Degenerate(), keys: Sequence[str] = ("market",), dedupe: bool = True, profile: DataFrame | None = None) -> DataFrame:
+    """Daily factor table: the panel is prepared once and aggregated once for all modules. ``profile`` is that of the panel,
+    for callers that use it elsewhere too."""
     prepared = prepare_stock_panel(panel, windows, keys, dedupe)
     counts = daily_panel_counts(add_stock_windows(prepared, windows, keys), keys)
-    expected = expected_universe_daily(panel, keys)
+    expected = expected_from_profile(panel_profile(panel, keys) if profile is None else profile, keys)
     coverage = coverage_from_counts(counts, expected, quality, keys).select(
         *keys, "trade_date", "expected_eligible_count", "expected_universe_source", F.col("coverage_ratio").alias("market_coverage_ratio")
     )
@@ -66,15 +67,16 @@ def market_temperature(
     keys: Sequence[str] = ("market",),
     dedupe: bool = True,
 ) -> DataFrame:
-    raw = hand_off(raw_factors(panel, limits, windows, quality, cfg, keys, dedupe))
+    profile = hand_off(panel_profile(panel, keys))
+    raw = hand_off(raw_factors(panel, limits, windows, quality, cfg, keys, dedupe, profile))
     stretch = add_stretch(prepare_index(index_bars, [*keys, "benchmark"]), windows, [*keys, "benchmark"])
     assessment = None
     if quality.production:
         coverage = raw.select(
             *keys, "trade_date", "expected_eligible_count", "observed_universe", F.col("observed_universe").alias("valid_price_count"), F.col("valid_amount_observed").alias("valid_amount_count"), F.col("market_coverage_ratio").alias("coverage_ratio")
         )
-        assessment = assess_market_coverage(coverage, panel, quality, keys)
-    warnings = dataset_warnings(panel, limits, assessment, quality, keys)
+        assessment = assess_market_coverage(coverage, panel, quality, keys, profile)
+    warnings = dataset_warnings(panel, limits, assessment, quality, keys, profile)
     return score_factors(raw, stretch, warnings, quality, pct, cfg, keys)
 
 
@@ -95,11 +97,12 @@ def intraday_temperature(
     """Score only ``target_date``: raw factors are computed from the recent ``panel``, older ones come
     from the persisted ``history`` tables, and both go through the same scoring as the daily run."""
     day = F.lit(target_date).cast("date")
-    live = raw_factors(panel, limits, windows, quality, cfg, keys, dedupe).filter(F.col("trade_date") == day)
+    profile = hand_off(panel_profile(panel, keys))
+    live = raw_factors(panel, limits, windows, quality, cfg, keys, dedupe, profile).filter(F.col("trade_date") == day)
     live_stretch = add_stretch(prepare_index(index_bars, [*keys, "benchmark"]), windows, [*keys, "benchmark"]).filter(F.col("trade_date") == day)
     past = history.filter(F.col("trade_date") < day)
     past_stretch = stretch_history.filter(F.col("trade_date") < day)
-    warnings = dataset_warnings(panel, limits, None, quality, keys)
+    warnings = dataset_warnings(panel, limits, None, quality, keys, profile)
     scored = score_liquidity(
         score_profit_effect(score_breadth(past.unionByName(live, allowMissingColumns=True), keys, pct, cfg), keys, pct, cfg), keys, pct, cfg
     ).filter(F.col("trade_date") == day)
