@@ -551,3 +551,14 @@ def test_length_query_equals_counting(spark):
         longer, at_most = [s for s in sizes if s >= n], sum(s <= n for s in sizes)
         assert (row.n_docs, row.docs_at_least, row.tokens_at_least, row.docs_at_most) == (sizes.count(n), len(longer), sum(longer), at_most)
         assert row.truncated_total == sum(min(s, n) for s in sizes) and row["quantile"] == pytest.approx(at_most / len(sizes))
+
+
+@pytest.mark.parametrize("distinct", [0, 5, 400, 6000])
+def test_training_windows_are_chosen_from_few_rows_whatever_the_partitions(spark, distinct):
+    names = [f"candidate {i}".encode() for i in range(distinct)]
+    rows = spark.createDataFrame([(w, b"p" if i % 2 else None) for i, w in enumerate(names * 3)], "w binary, place binary").repartition(64)
+    low = secret_scan.lowest_hashes(rows, 400)
+    want = rows.groupBy("w").agg(F.xxhash64("w").alias("h")).orderBy("h", "w").limit(400)
+    first = low.groupBy("w").agg(F.xxhash64("w").alias("h")).orderBy("h", "w").limit(400)
+    assert first.collect() == want.collect()
+    assert low.count() <= 3 * (400 + 10)
