@@ -562,3 +562,13 @@ def test_training_windows_are_chosen_from_few_rows_whatever_the_partitions(spark
     first = low.groupBy("w").agg(F.xxhash64("w").alias("h")).orderBy("h", "w").limit(400)
     assert first.collect() == want.collect()
     assert low.count() <= 3 * (400 + 10)
+
+
+def test_rows_of_one_id_take_several_token_files(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "same words")] * 3000 + [(i, f"text {i}") for i in range(1000)], "doc_id long, text string").repartition(6)
+    files = token_files.write_token_files(docs, str(tmp_path), ranges=8)
+    sizes = [r.n_docs for r in files.collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1500
+    rows = token_files.read_token_files(files).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 3000 + list(range(1000)) and len({r.start for r in rows}) == 4000
+    assert len({bytes(r.ids) for r in rows[:3000]}) == 1

@@ -45,8 +45,10 @@ def put(path: str, data: np.ndarray) -> None:
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, id_type: str = "<u2", ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, adds ``end_id`` and writes ids in ascending order of document id (nulls first, equal ids by
-    text). Returns (range, n_docs, n_tokens, ids_file) as a staged table; an empty table gives no files. ``ranges``
-    defaults to the shuffle partitions of the session. A task that runs again writes the same files anew."""
+    the hash of the text, then by place in the input, so an id with many rows takes several ranges). Returns (range, n_docs,
+    n_tokens, ids_file) as a staged table; an empty table gives no files. ``ranges`` defaults to the shuffle partitions of
+    the session. Null texts are empty; extra columns are not read. A task that runs again writes the same files anew, given an
+    input whose rows come again in the same order, as those of a stored table do."""
     spark, target, path = docs.sparkSession, local_folder(folder), path or default_path()
     os.makedirs(target, exist_ok=True)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -76,7 +78,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         os.replace(own, f"{name}.ids")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([offsets[-1]], pa.int64()), pa.array([f"{name}.ids"])], ["range", "n_docs", "n_tokens", "ids_file"])
 
-    dealt = keyed_texts(docs, id_col, text_col).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "text_hash", "place"]  # the place parts rows that are equal in both, so no id fills one range
+    placed = keyed_texts(docs, id_col, text_col).withColumns({"text_hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    dealt = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return staged(dealt.mapInArrow(run, "range long, n_docs long, n_tokens long, ids_file string"), "token-ranges")
 
 
