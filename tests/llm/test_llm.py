@@ -572,3 +572,20 @@ def test_rows_of_one_id_take_several_token_files(spark, tmp_path):
     rows = token_files.read_token_files(files).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None] * 3000 + list(range(1000)) and len({r.start for r in rows}) == 4000
     assert len({bytes(r.ids) for r in rows[:3000]}) == 1
+
+
+def test_the_network_learns_from_all_findings_and_counterexamples(spark, monkeypatch):
+    r = random.Random(8)
+    words = "river stone market winter garden letter yellow bridge people morning paper mountain silver window".split()
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20))
+    docs = spark.createDataFrame([(i, f"{r.choice(words)} {key()[:8]} {''.join(r.sample('abcdefghijklmnop', 9))} token = {key()}") for i in range(3000)], "doc_id long, text string").repartition(8)
+    found = common.staged(secret_scan.find_candidates(docs), "found")
+    rows = secret_scan.with_held(secret_scan.training_rows(found)).cache()
+    counts = {(x.label, x.held): x["count"] for x in rows.groupBy("label", "held").count().collect()}
+    assert counts[1, False] + counts[1, True] == 6000 and counts[0, False] + counts[0, True] > 3000  # before, 2,000 of each at most
+    assert rows.groupBy("label", "fold").agg(F.countDistinct("held").alias("n")).where("n > 1").count() == 0
+    net = secret_scan.learn_network(found, 0.98)
+    assert net.held[0] == counts[1, True] and net.held[1] >= 0.98
+    few = rows.where("label = 0").unionByName(rows.where("label = 1").limit(3))
+    dealt = secret_scan.in_parts(few, 500).groupBy("part").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad")).collect()
+    assert len(dealt) > 5 and all(x.good == 3 and x.bad > 0 for x in dealt)
