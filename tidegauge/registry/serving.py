@@ -66,8 +66,9 @@ LEFT JOIN coverage c ON c.market = l.market AND c.trade_date = l.latest_calculat
 
 
 def diagnostics(spark, d):
-    table = state_table(spark, d)
-    return sv.diagnostics(table, advisory_frame(table), market_coverage_daily(td.bars(spark, d), td.QUALITY, dedupe=False))
+    raw = td.stored_bars(spark, d)
+    table = hand_off(build_states(td.regime_daily(spark, d, raw)))
+    return sv.diagnostics(table, advisory_frame(table), market_coverage_daily(td.bars(spark, d, raw), td.QUALITY, dedupe=False))
 
 
 register("sv6_diagnostics", diagnostics, "market status latest_valid_date latest_calculated_date row_count:n universe:n coverage_text warning_labels", "diagnostics")
