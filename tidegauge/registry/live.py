@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators import factors as fx
 from ..operators.regime import regime_indicators
 from ..plans.temperature import raw_factors, score_factors
 from ..operators.quality import dataset_warnings
@@ -17,7 +18,7 @@ from ..streaming import gate as gt
 from ..streaming import live as lv
 from ..streaming import quotes as qt
 from .base import cte, register
-from .factors import KEYS, W, panel, stretch
+from .factors import IDX, KEYS, W, panel
 from .quality import Q
 from .scoring import LIVE_DAY
 
@@ -185,17 +186,18 @@ register("st8_live_source_priority", lambda s, d: qt.prefer_source(candidates(s,
          "(SELECT * FROM (SELECT *, CASE WHEN day(trade_date) % 3 = 0 OR event_id % 2 = 0 THEN 1 ELSE 0 END AS source_rank FROM quotes) QUALIFY source_rank = min(source_rank) OVER (PARTITION BY market, trade_date))")
 
 
-def stored_history(spark, d):
-    """What is stored before the live day: recent bars, limit rows and benchmarks, raw factors, and scored days."""
-    bars = panel(spark, d)
+def stored_history(spark, d, bars=None):
+    """What is stored before the live day: recent bars, limit rows and benchmarks, raw factors, and scored days. Every
+    micro-batch reads them, so each is stored by itself."""
+    bars = panel(spark, d) if bars is None else bars
     day = F.lit(LIVE_DAY).cast("date")
-    past, index = bars.filter(F.col("trade_date") < day), td.index_bars(spark, d, bars).filter(F.col("trade_date") < day)
-    limits = td.limits(past)
+    past, index = bars.filter(F.col("trade_date") < day), tb.hand_off(td.index_bars(spark, d, bars).filter(F.col("trade_date") < day))
+    limits = tb.stage_table(td.limits(past), "limits")
     factors = tb.hand_off(raw_factors(past, limits, W, Q, dedupe=False))
-    ratios = tb.hand_off(stretch(spark, d, bars).filter(F.col("trade_date") < day))
+    ratios = tb.hand_off(fx.add_stretch(fx.prepare_index(index), W, IDX))
     daily = score_factors(factors, ratios, dataset_warnings(past, limits, None, Q, KEYS), Q, td.PERCENTILE)
-    recent = past.filter(F.col("trade_date") >= F.date_sub(day, 7 * 30))
-    return ch.Stored(recent, limits.filter(F.col("trade_date") >= F.date_sub(day, 7 * 30)), index, factors, ratios, tb.hand_off(daily))
+    recent = F.col("trade_date") >= F.date_sub(day, 7 * 30)
+    return ch.Stored(tb.stage_table(past.filter(recent), "recent"), limits.filter(recent), index, factors, ratios, tb.hand_off(daily))
 
 
 def live_index(bars):
@@ -209,13 +211,14 @@ def live_pools(bars):
 def live_chain(spark, d):
     """Three polls of the live week land one after the other and pass the whole chain as micro-batches: stale stamps before
     the session, a part of the week at lunch, the whole after the close. Beside each published series stand its quotes, given and refused."""
-    polls = tb.hand_off(td.live_polls(spark, d, LIVE_DAY))
+    bars = panel(spark, d)
+    polls = tb.hand_off(td.live_polls(spark, d, LIVE_DAY, bars))
     folder = landed(spark, polls, "landed-polls", [f"{LIVE_DAY} {t}" for t in ("00:00:00", "11:00:00", "13:00:00", "23:59:59")], "landed_at")
     published = SnapshotTable(spark, tb.scratch_path(spark, "live"), ["market", "trade_date"])
     rejected = SnapshotTable(spark, tb.scratch_path(spark, "rejected"))
     stream = qt.read_quotes(spark, folder, polls.schema, "parquet", FILES)
     scoring = ch.Scoring(W, Q, td.PERCENTILE)
-    ch.run_live_chain(stream, stored_history(spark, d), live_index, published, rejected, tb.scratch_path(spark, "ckpt"), scoring, live_limits=live_pools).awaitTermination()
+    ch.run_live_chain(stream, stored_history(spark, d, bars), live_index, published, rejected, tb.scratch_path(spark, "ckpt"), scoring, live_limits=live_pools).awaitTermination()
     given = polls.groupBy("market").agg(F.count("*").alias("given"))
     refused = rejected.read().groupBy("market").agg(F.count_if(F.col("reason") == "NOT_TODAY").alias("not_today"), F.count_if(F.col("reason") == "SUPERSEDED_SOURCE").alias("superseded"), F.count("*").alias("refused"))
     return published.read().join(given, "market").join(refused, "market")

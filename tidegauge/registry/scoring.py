@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.series import degenerate_mask, mid_rank_percentile, trailing_winsorize
+from ..operators import factors as fx
 from ..operators import scoring as sc
 from ..params import BREADTH_WEIGHTS, MODULE_WEIGHTS, Quality
 from ..plans.temperature import intraday_temperature, market_temperature, raw_factors
 from ..sources import testdata as td
+from ..sources.tables import hand_off, stage_table
 from .base import cte, register
-from .factors import KEYS, W, panel, profit, stretch
+from .factors import IDX, KEYS, W, panel, profit, stretch
 from .quality import Q, temperature
 
 P = td.PERCENTILE
@@ -57,8 +59,9 @@ def intraday(spark, d):
     bars = panel(spark, d)
     day = F.lit(LIVE_DAY).cast("date")
     history = raw_factors(bars, td.limits(bars), W, Q, dedupe=False)
-    recent = bars.filter(F.col("trade_date").between(F.date_sub(day, 7 * 30), day))
-    return intraday_temperature(recent, td.limits(recent), td.index_bars(spark, d, bars).filter(F.col("trade_date") <= day), history, stretch(spark, d, bars), LIVE_DAY, W, PRODUCTION, P, dedupe=False)
+    recent = stage_table(bars.filter(F.col("trade_date").between(F.date_sub(day, 7 * 30), day)), "recent")
+    index = hand_off(td.index_bars(spark, d, bars))
+    return intraday_temperature(recent, td.limits(recent), index.filter(F.col("trade_date") <= day), history, fx.add_stretch(fx.prepare_index(index), W, IDX), LIVE_DAY, W, PRODUCTION, P, dedupe=False)
 
 
 # The oracle scores the same day from the full table: a live day must agree with the daily run on every
