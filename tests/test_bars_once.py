@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from tidegauge.registry import REGISTRY, ingest
@@ -40,3 +42,9 @@ def test_bars_are_computed_once(spark, monkeypatch, name):
     monkeypatch.setattr(td, "raw_bars", lambda *args: (made.append(name), own(*args))[1])
     REGISTRY[name].build(spark, SF)
     assert len(made) == 1
+
+
+def test_lines_reach_their_bar_in_one_narrow_shuffle(spark):
+    """Merging lines into bars starts behind the shuffle by security and week, not before it."""
+    plan = td.raw_bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_min_by") < re.search(r"hashpartitioning\(sk#\w+, trade_date", plan).start()
