@@ -91,6 +91,21 @@ def test_a_source_comes_back_and_a_replay_changes_nothing(spark, tmp_path):
     assert [t.versions() for t in (run.accepted, run.rejected, run.status)] == before and run.accepted.read().count() == 8
 
 
+def test_the_rows_of_a_source_stay_where_they_were_read(spark, tmp_path):
+    """The state is asked with a few newest stamps, so no shuffle of the gate carries the 4,000 rows of its one source."""
+    run = Run(spark, str(tmp_path))
+    for minute in (0, 5):
+        now = at("10:00:00") + dt.timedelta(minutes=minute)
+        run.land([("a", str(i), now, now, 1.0) for i in range(2000)])
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    known = stages().size()
+    run.drain()
+    now = stages()
+    assert run.accepted.read().count() == 4000 and now.size() > known
+    assert max(now.apply(i).shuffleReadRecords() for i in range(now.size() - known)) < 100
+
+
 def test_an_empty_stream(spark, tmp_path):
     run = Run(spark, str(tmp_path))
     run.land([])

@@ -49,13 +49,13 @@ FILES = 4
 """Files of a landed range, and files that a trigger takes."""
 
 
-def landed(spark, frame, name, edges, at="quote_time"):
-    """``frame`` in one folder, ``FILES`` files for each range of times, in the order of the ranges, so that a stream of as many
+def landed(spark, frame, name, edges, at="quote_time", files=FILES):
+    """``frame`` in one folder, ``files`` files for each range of times, in the order of the ranges, so that a stream of as many
     files per trigger takes them as micro-batches."""
     folder = tb.scratch_path(spark, name)
     for low, high in zip(edges, edges[1:]):
         part = frame.filter((F.col(at) >= F.lit(low).cast("timestamp")) & (F.col(at) < F.lit(high).cast("timestamp")))
-        part.repartition(FILES).write.mode("append").parquet(folder)
+        part.repartition(files).write.mode("append").parquet(folder)
     return folder
 
 
@@ -109,12 +109,13 @@ def gated_stream(spark, d):
     day's close. The source ``error`` delivers in the first only and falls silent."""
     source = quotes(spark, d)
     close = F.to_timestamp(F.concat(F.lit(str(source.agg(F.max(F.to_date("quote_time"))).first()[0])), F.lit(" 16:00:00")))
-    taken = tb.hand_off(source.withColumn("poll", F.when(F.col("market") == "error", 0).otherwise(F.col("event_id") % 3).cast("int")).withColumn("landed_at", close + F.expr("make_interval(0, 0, 0, 0, 0, 10 * poll, 0)")))
+    taken = source.withColumn("poll", F.when(F.col("market") == "error", 0).otherwise(F.col("event_id") % 3).cast("int")).withColumn("landed_at", close + F.expr("make_interval(0, 0, 0, 0, 0, 10 * poll, 0)"))
     first = taken.agg(F.min("landed_at")).first()[0]
-    folder = landed(spark, taken, "gate", [first + dt.timedelta(minutes=m) for m in (0, 10, 20, 30)], "landed_at")
+    cores = max(FILES, min(spark.sparkContext.defaultParallelism, 32))
+    folder = landed(spark, taken, "gate", [first + dt.timedelta(minutes=m) for m in (0, 10, 20, 30)], "landed_at", cores)
     accepted, rejected = (SnapshotTable(spark, tb.scratch_path(spark, name)) for name in ("accepted", "rejected"))
     status = SnapshotTable(spark, tb.scratch_path(spark, "status"), ["market"], "since")
-    gt.run_gate(spark, qt.read_quotes(spark, folder, taken.schema, "parquet", FILES), accepted, rejected, status, tb.scratch_path(spark, "ckpt"), ["market"], lateness=f"{GATE_LATENESS} days")
+    gt.run_gate(spark, qt.read_quotes(spark, folder, taken.schema, "parquet", cores), accepted, rejected, status, tb.scratch_path(spark, "ckpt"), ["market"], lateness=f"{GATE_LATENESS} days", partitions=cores)
     counts = accepted.read().groupBy("market").agg(F.count("*").alias("accepted"))
     refused = rejected.read().groupBy("market").agg(F.count_if(F.col("reason") == "LATE").alias("late"), F.count_if(F.col("reason") != "LATE").alias("refused"))
     given = taken.groupBy("market").agg(F.count("*").alias("given"))
