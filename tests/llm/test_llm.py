@@ -82,6 +82,40 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == mine.library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_ids_of_plain_and_other_chunks_equal_the_library():
+    mine = word_bpe.WordEncoder(word_bpe.default_path())
+    letters = "".join(map(chr, range(0x21, 0x250))) + "'s'll\x00\t\x0b\x85\xa0\u0301\u1e9e\u0130\u03a3\u2028<|endoftext|>"
+    r = random.Random(4)
+    texts = [*letters, *("".join(r.choices(letters + " " * 60 + "\n" * 20, k=r.randrange(60))) for _ in range(3000)), "It'S 'LL don'T", "<|endoftext|>x<|", "", " ", "\n\n"]
+    for text, ids in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == mine.library.encode(text, add_special_tokens=False).ids, text
+    assert mine.encode([""]) == [b""] and mine.encode(["", " "]) == [b"", b""]
+
+
+def test_word_pieces_are_looked_up_once_a_slice():
+    mine = word_bpe.WordEncoder(word_bpe.default_path())
+    asked, many = [], common.Recent.many
+
+    class Watched(common.Recent):
+        def many(self, keys):
+            asked.extend(keys)
+            return many(self, keys)
+
+    for name, value in vars(mine).items():
+        if isinstance(value, common.Recent):
+            setattr(mine, name, Watched(value.make, value.most))
+    assert len(set(mine.encode(["The same words, the same\nWORDS. " * 100] * 50))) == 1
+    assert len(asked) < 20  # of 30,050 chunks; before, each was looked up
+
+
+def test_recent_values_met_in_every_call_are_made_once():
+    made = []
+    small = common.Recent(lambda keys: made.extend(keys) or [k * 2 for k in keys], 10)
+    for i in range(20):
+        assert small.many([1, 2, 3, *range(100 + i * 6, 106 + i * 6)])[:3] == [2, 4, 6]
+    assert [made.count(k) for k in (1, 2, 3)] == [1, 1, 1]  # before, made again in every other call
+
+
 def test_recent_values_do_not_depend_on_the_memory():
     small = common.Recent(lambda keys: [k * 2 for k in keys], 3)
     assert [small.many([i % 7, i, i]) for i in range(20)] == [[i % 7 * 2, i * 2, i * 2] for i in range(20)]

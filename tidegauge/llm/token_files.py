@@ -11,16 +11,16 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, shared_dir, slices, staged, without_gc
+from .common import keyed_texts, shared_dir, staged, without_gc
 from .word_bpe import default_path, word_encoder
 
 NO_ID = np.iinfo(np.int64).min
@@ -58,23 +58,22 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         encoder, n = word_encoder(path), TaskContext.get().partitionId()
         name = f"{target}/{n:08d}"
         own = f"{name}.ids.{uuid.uuid4().hex}"
-        ids, offsets, end = [], [0], end_id.to_bytes(4, "little")
+        ids, lengths = [], []
         with open(own, "wb") as out:
             for batch in without_gc(batches):
-                ids += [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
-                content = batch.column("text").to_pylist()
-                for a, b in slices(content):
-                    rows = [x + end for x in encoder.encode(content[a:b])]
-                    offsets += [offsets[-1] + n // 4 for n in accumulate(map(len, rows))]
-                    tokens = np.frombuffer(b"".join(rows), "<u4")
+                for docs, rows in encoder.ended(batch, end_id):
+                    ids.append(docs.fill_null(NO_ID).to_numpy())
+                    lengths.append(pc.binary_length(rows).to_numpy() // 4)
+                    tokens = np.frombuffer(rows.buffers()[2], "<u4", lengths[-1].sum())
                     if tokens.max() > limit:
                         raise ValueError(f"an id over {limit} does not fit {id_type}")
                     tokens.astype(id_type).tofile(out)
         if not ids:
             os.remove(own)
             return
-        put(f"{name}.offsets", np.array(offsets, "<i8"))
-        put(f"{name}.docs", np.array(ids, "<i8"))
+        ids, offsets = np.concatenate(ids), np.concatenate([[0], *lengths]).cumsum(dtype=np.int64)
+        put(f"{name}.offsets", offsets.astype("<i8"))
+        put(f"{name}.docs", ids.astype("<i8"))
         os.replace(own, f"{name}.ids")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([offsets[-1]], pa.int64()), pa.array([f"{name}.ids"])], ["range", "n_docs", "n_tokens", "ids_file"])
 

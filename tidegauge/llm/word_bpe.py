@@ -1,8 +1,10 @@
 """Ids of the public word tokenizer, by the tokenizers library, for whole texts.
 
-White space always ends a token there, so a text is encoded chunk by chunk, split at spaces and line feeds, and
-a worker keeps the ids of the chunks it has met, as bytes (a bounded memory that only saves time). A new chunk of plain
-letters goes straight to the library's merge model, any other to the library's whole encoder.
+White space always ends a token there, so a text is split into chunks at spaces and line feeds, and chunks of plain
+characters into the tokenizer's own pieces. Arrow splits the texts of a slice and numbers the distinct chunks, then the distinct
+pieces; only these are looked up in Python, and Arrow lays their ids in place again. A worker keeps the ids of the pieces it
+has met, as bytes (a bounded memory that only saves time). New pieces go to the library's merge model, any
+other chunk whole to the library's encoder.
 """
 
 from __future__ import annotations
@@ -11,17 +13,21 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Recent, slices, without_gc
+from .common import Recent, slices_of, without_gc
 
 WORD_FILE = "word_bpe_49k.json"
-CACHED_CHUNKS, CACHED_PIECES = 250_000, 100_000
+CACHED_PIECES = 250_000
+SLICE_BYTES = 1 << 23
+"""Bytes of text that a task encodes at a time; a longer text is a slice of its own."""
 
-# The tokenizer's own split pattern, for text of the characters in PLAIN.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
-PLAIN = re.compile(r"[\x21-\x3B\x3D-\x7E\xC0-\xFF]+")
+# The tokenizer's own split pattern, applied to lower-cased chunks of the characters in PLAIN.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PLAIN = r"[\x21-\x3B\x3D-\x7E\xC0-\xFF]+"  # "<" is not plain: it may begin one of the added tokens
 
 
 def byte_letters() -> list[str]:
@@ -39,32 +45,48 @@ class WordEncoder:
         self.merges = self.library.model
         self.letters = byte_letters()
         self.raw = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-        self.met_chunks = Recent(self.chunks, CACHED_CHUNKS)
-        self.met_pieces = Recent(lambda new: list(map(self.piece, new)), CACHED_PIECES)
-
-    def piece(self, piece: str) -> bytes:
-        spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        self.plain = re.compile(PLAIN)
+        self.met = Recent(lambda new: list(map(self.ids, new)), CACHED_PIECES)
+
+    def ids(self, part: str) -> bytes:
+        """Ids of one plain piece, or of a chunk that is not plain."""
+        if not self.plain.fullmatch(part):
+            return b"".join([self.raw[i] for i in self.library.encode(part, add_special_tokens=False).ids])
+        spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
         return b"".join([self.raw[token.id] for token in self.merges.tokenize(spelled)])
 
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks without spaces."""
-        split = list(map(self.split, chunks))
-        ids = iter(self.met_pieces.grouped([pieces for pieces in split if pieces is not None]))
-        return [b"".join([self.raw[i] for i in self.library.encode(c, add_special_tokens=False).ids] if pieces is None else next(ids)) for c, pieces in zip(chunks, split, strict=True)]
-
-    @staticmethod
-    def split(chunk: str) -> list[str] | None:
-        """Pieces of a chunk, or None where only the library knows. ASCII letters, alone or before a stop or comma, need no pattern."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-                return [chunk[:-1].lower(), chunk[-1]]
-        return PIECES.findall(chunk.lower()) if PLAIN.fullmatch(chunk) else None  # "<" is not plain: it may begin one of the added tokens
+    def parts(self, chunks: pa.StringArray) -> pa.ListArray:
+        """Pieces of every chunk, and an empty one; a chunk that is not plain stays whole."""
+        chunks = chunks.cast(pa.large_string())  # with a space after each piece, a chunk may double
+        pieces = pc.replace_substring_regex(pc.utf8_lower(chunks), PIECES, r"\0 ")
+        return pc.split_pattern(pc.if_else(pc.match_substring_regex(chunks, f"^{PLAIN}$"), pieces, chunks), " ")
+
+    def encode_array(self, texts: pa.StringArray) -> pa.LargeBinaryArray:
+        """Little-endian unsigned 32-bit ids of each text; no text may be null."""
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        numbered = chunks.flatten().dictionary_encode()
+        parts = self.parts(numbered.dictionary)
+        distinct = parts.flatten().dictionary_encode()
+        known = pa.array(self.met.many(distinct.dictionary.to_pylist()), pa.large_binary())
+        return joined(chunks, joined(parts, known.take(distinct.indices)).take(numbered.indices))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        return [b"".join(x) for x in self.met_chunks.grouped([text.replace("\n", " ").split(" ") for text in texts])]
+        """The same of a list."""
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+    def ended(self, batch: pa.RecordBatch, end_id: int) -> Iterator[tuple[pa.Array, pa.LargeBinaryArray]]:
+        """Ids of documents and of their texts, ``end_id`` last, by slices of a batch of (doc_id, text)."""
+        end = pa.scalar(end_id.to_bytes(4, "little"), pa.large_binary())
+        content, none = batch.column("text"), pa.scalar(b"", pa.large_binary())
+        for a, b in slices_of(pc.binary_length(content).to_pylist(), SLICE_BYTES):
+            yield batch.column("doc_id").slice(a, b - a), pc.binary_join_element_wise(self.encode_array(content.slice(a, b - a)), end, none)
+
+
+def joined(groups: pa.ListArray, values: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+    """The values of each group, one after the other; ``values`` stand for the elements of all groups."""
+    _, starts, data = values.buffers()
+    starts = np.frombuffer(starts, np.int64)[groups.offsets.to_numpy()]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(groups), [None, pa.py_buffer(starts), data])
 
 
 @lru_cache(maxsize=2)
@@ -84,12 +106,8 @@ def encode_words(texts: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        end = end_id.to_bytes(4, "little")
         for batch in without_gc(batches):
-            ids = batch.column("doc_id")
-            content = batch.column("text").to_pylist()
-            for a, b in slices(content):
-                rows = [x + end for x in encoder.encode(content[a:b])]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(rows, pa.binary())], ["doc_id", "ids"])
+            for docs, ids in encoder.ended(batch, end_id):
+                yield pa.RecordBatch.from_arrays([docs, ids.cast(pa.binary())], ["doc_id", "ids"])
 
     return texts.mapInArrow(run, "doc_id long, ids binary")
