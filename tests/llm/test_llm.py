@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegauge.llm import ann, byte_bpe, common, hamming, lengths, ngram, packing, quality, registry, secret_scan, simhash, token_files, word_bpe
+from tidegauge.llm import ann, byte_bpe, common, hamming, lengths, ngram, packing, quality, registry, secret_scan, simhash, token_files, vectors, word_bpe
 
 SF = "/root/testdata/sf0.001"
 ODD = "doc_id long, text string, score double, ids string, block long, label int, bits long, train boolean, n_tokens string, key string, base long"
@@ -364,6 +364,31 @@ def test_hamming_query_equals_brute_force(spark):
             assert sorted(got[q]) == [(k + 1, *w) for k, w in enumerate(want)]
 
 
+def test_pairs_of_blocks_go_to_several_tasks(spark):
+    """They are few bytes, so that adaptive execution would give them all to one task."""
+    frame = spark.createDataFrame([(i, i.to_bytes(2)) for i in range(400)], "rep long, key binary").withColumn("length", F.octet_length("key"))
+    compare = lambda found, queries: queries[["rep"]].head(1)
+    tasks = vectors.in_blocks(frame, frame, ["length"], compare, "rep long", 50, 50).select(F.spark_partition_id().alias("task"))
+    assert tasks.distinct().count() > 1 and tasks.count() >= 16
+
+
+@pytest.mark.parametrize("length", [3, 8, 9, 20])
+def test_segment_tables_find_the_nearest_and_read_few_codes(length, monkeypatch):
+    codes = np.random.default_rng(length).integers(0, 256, (20000, length), dtype=np.uint8)
+    codes[::2, 1:] = codes[0, 1:]  # half of the codes are close to one another
+    tables, read, at_radius = hamming.SegmentTables(codes), [], hamming.SegmentTables.at_radius
+    monkeypatch.setattr(hamming.SegmentTables, "at_radius", lambda *a: read.append(at_radius(*a)) or read[-1])
+    queries = codes[[0, 2, 4]]
+    for query, (numbers, distances) in zip(queries, tables.nearest(queries, 7), strict=True):
+        want = np.bitwise_count(codes ^ query).sum(axis=1)
+        best = np.lexsort((np.arange(len(codes)), want))[:7]
+        assert numbers.tolist() == best.tolist() and distances.tolist() == want[best].tolist()
+    few = np.random.default_rng(1).integers(0, 256, (20000, 4), dtype=np.uint8)
+    read.clear()
+    hamming.SegmentTables(few).nearest(few[:50], 5)
+    assert sum(map(len, read)) < 50 * len(few) / 10  # segments of eight bits read more than half
+
+
 def test_interpolation_counts_and_held_out_gain(spark):
     texts = texts_by_id(spark)
     words = {d: [*t.encode().lower().split(), b"\n"] for d, t in texts.items()}

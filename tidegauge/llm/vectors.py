@@ -19,7 +19,8 @@ def distinct_keys(rows: DataFrame, most: int) -> DataFrame:
 
 def in_blocks(index: DataFrame, queries: DataFrame, by: list[str], compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, most_rows: int, most_queries: int) -> DataFrame:
     """``compare(rows, queries)`` for each bucket (equal ``by``) of (by..., rep, key) frames. A bucket of over
-    ``most_rows`` rows or ``most_queries`` queries is cut into blocks, each pair of which is a task of its own."""
+    ``most_rows`` rows or ``most_queries`` queries is cut into blocks. Pairs of blocks are spread over all shuffle partitions,
+    for they are few bytes and much work, and are not to be coalesced."""
     sizes = index.groupBy(*by).agg(F.ceil(F.count("*") / most_rows).alias("row_blocks")).join(queries.groupBy(*by).agg(F.ceil(F.count("*") / most_queries).alias("query_blocks")), by)
 
     def dealt(df: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
@@ -34,7 +35,9 @@ def in_blocks(index: DataFrame, queries: DataFrame, by: list[str], compare: Call
         asked = group["is_query"].to_numpy(bool)
         return compare(group[~asked], group[asked])
 
-    return both.groupBy(*by, "row_block", "query_block").applyInPandas(run, schema)
+    pair = [*by, "row_block", "query_block"]
+    spread = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pair)
+    return spread.groupBy(*pair).applyInPandas(run, schema)
 
 
 def nearest_ids(pairs: DataFrame, keys: DataFrame, queries: DataFrame, k: int, order: Column, measure: str) -> DataFrame:
